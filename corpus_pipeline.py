@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataloom.llm import langid, neardup, packing, toxicity
+from strataloom.llm.common import ship_code
 
 
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
@@ -21,6 +22,7 @@ def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected documents (no letter, or below the calibrated level) go. Where no row has a language, nothing can be rejected."""
+    ship_code(spark)
     model = langid.fit(docs, F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1)
     if not model.languages:
         return docs
@@ -29,6 +31,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents predicted toxic go."""
+    ship_code(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     index = toxicity.fit(docs, labels, F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 2)
     return _without(docs, toxicity.toxicity(docs, index).filter("predicted = 1"))
@@ -36,11 +39,13 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each near-duplicate class the document with the least id stays."""
+    ship_code(spark)
     return neardup.keep_one(docs).select(docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of token sequences."""
+    ship_code(spark)
     return packing.pack(docs)
 
 

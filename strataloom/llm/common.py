@@ -4,11 +4,28 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+def ship_code(spark: SparkSession) -> None:
+    """Send this package to the executors, once for each context: they need no copy of their own."""
+    sc = spark.sparkContext
+    if getattr(sc, "_strataloom_sent", False):
+        return
+    root = Path(__file__).resolve().parents[1]
+    target = Path(tempfile.mkdtemp(prefix="code-")) / "strataloom.zip"
+    with zipfile.ZipFile(target, "w") as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, f"strataloom/{p.relative_to(root)}")
+    sc.addPyFile(str(target))
+    sc._strataloom_sent = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship_code(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

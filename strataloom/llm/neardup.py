@@ -5,10 +5,12 @@
 2. Darts: each element owns hashed Poisson processes over (weight, rank), one for each dyadic band of weight; the darts under
    its weight count. Only ranks up to about k ln k / total weight are thrown, so a signature costs O(n + k log k). The earliest
    dart of each of k coordinates is kept; two signatures agree in a coordinate with probability equal to weighted Jaccard.
-3. Coordinates are folded into bands. In each bucket a pivot, different from band to band, is paired with every other member:
-   linear in the bucket's size. Pairs are verified by exact Jaccard over the shingle sets, pivots with many pairs being salted.
-4. Components of the links. Where a bucket still holds several components, all members outside its largest one are verified
-   against all members of other components, so that no link between bucket members is lost; then components again.
+3. Coordinates are folded into bands. In each bucket the least id, the pivot, is paired with every other member: linear in the
+   bucket's size, and the same pair in most bands. Pairs between components are verified in three rounds by exact Jaccard over
+   the shingle sets, pivots with many pairs being salted.
+4. Components of the links. Where a bucket still holds several components, members outside its largest one are verified
+   against the members of other components, but for pairs that an upper bound of their Jaccard excludes, so that no link
+   between bucket members is lost; then components again.
 
 Defined results: null is the empty text; a text without words is linked only to equal texts; repeated ids fall together.
 """
@@ -21,7 +23,7 @@ import re
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import GenerationCache, cut, once, whole
@@ -127,20 +129,45 @@ def _signed(df: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
     return df.mapInPandas(whole(run), "id long, k1 long, k2 long, bands array<long>")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, words: int, threshold: float, salt_rows: int = 256) -> DataFrame:
-    """(a, b) of those pairs (a, b) whose exact Jaccard meets the threshold."""
-    pairs = cut(pairs)
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+def _sets(ids: DataFrame, texts: DataFrame, words: int) -> DataFrame:
+    """(id, s): the shingle sets of the texts with these ids."""
 
-    def pack(batches):
+    def run(batches):
         for batch in batches:
             yield pd.DataFrame({"id": batch["id"], "s": [shingles(t or "", words).tobytes() for t in batch["text"]]})
 
-    sets = cut(texts.join(ids, "id", "left_semi").dropDuplicates(["id"]).mapInPandas(whole(pack), "id long, s binary"))
+    return cut(texts.join(ids, "id", "left_semi").dropDuplicates(["id"]).mapInPandas(whole(run), "id long, s binary"))
+
+
+def _caps(sets: DataFrame) -> DataFrame:
+    """(node, n, c, g): size of each set, how many of its shingles another set holds too, and these in 64 classes by hash."""
+
+    def run(batches):
+        for batch in batches:
+            found = [np.frombuffer(s, np.int64) for s in batch["s"]]
+            yield pd.DataFrame({"id": np.repeat(batch["id"].to_numpy(), [len(x) for x in found]), "s": np.concatenate(found)})
+
+    each = sets.mapInPandas(whole(run), "id long, s long")
+    alone = each.groupBy("s").agg(F.min("id").alias("id"), F.count("*").alias("k")).filter("k = 1").groupBy("id").agg(F.collect_list("s").alias("alone"))
+
+    def count(batches):
+        for batch in batches:
+            rows = []
+            for doc, s, own in zip(batch["id"], batch["s"], batch["alone"], strict=True):
+                held = np.frombuffer(s, np.uint64)
+                shared = np.setdiff1d(held, np.asarray([] if own is None else own, np.int64).view(np.uint64))
+                rows.append((doc, len(held), len(shared), np.bincount((mix(shared) % _U(64)).astype(np.int64), minlength=64).astype(np.int32)))
+            yield pd.DataFrame(rows, columns=["node", "n", "c", "g"])
+
+    return sets.join(alone, "id", "left").mapInPandas(whole(count), "node long, n long, c long, g array<int>")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, threshold: float, salt_rows: int = 256) -> DataFrame:
+    """(a, b) of those pairs (a, b) whose exact Jaccard over sets (id, s) meets the threshold; an a of many pairs is salted."""
     many = pairs.groupBy("a").agg(F.ceil(F.count("*") / salt_rows).cast("int").alias("salts"))
-    left = sets.join(many.withColumnRenamed("a", "id"), "id").select(F.col("id").alias("a"), F.col("s").alias("sa"), "salts").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    left = sets.join(many.withColumnRenamed("a", "id"), "id").select(F.col("id").alias("a"), F.col("s").alias("sa"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
     salted = pairs.join(many, "a").select("a", "b", F.pmod(F.xxhash64("b"), "salts").cast("int").alias("salt"))
-    joined = salted.join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b").join(left.drop("salts"), ["a", "salt"]).select("a", "b", "sa", "sb")
+    joined = salted.join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b").join(left, ["a", "salt"]).select("a", "b", "sa", "sb")
 
     def run(batches):
         for batch in batches:
@@ -174,25 +201,42 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     # One copy's bands stand for all; joining on (key, id) keeps the rows that are representatives.
     shown = signed.join(nodes.withColumnRenamed("node", "id"), ["k1", "k2", "id"], "left_semi").dropDuplicates(["id"])
     inside = shown.filter("bands is not null and id is not null").select(F.col("id").alias("node"), F.explode("bands").alias("h"))
-    # Flipping by the bucket's own hash makes each bucket's pivot another one, with a sum that hashes well.
-    buckets = inside.groupBy("h").agg(F.min(F.col("node").bitwiseXOR(F.col("h"))).alias("p"), F.count("*").alias("n")).filter("n > 1")
-    members = cut(inside.join(buckets, "h").select("h", "node", F.col("p").bitwiseXOR(F.col("h")).alias("pivot")))
-    ordered = [F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")]
-    first = members.filter("node != pivot").select(F.col("pivot").alias("x"), F.col("node").alias("y")).distinct()
-    # The pivot comes first, so that a pivot of many pairs is salted; a pair found from both ends is verified once.
-    first = first.join(first.select(F.col("x").alias("y"), F.col("y").alias("x")).filter("x < y"), ["x", "y"], "left_anti").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    links = cut(_verified(first, texts, words, threshold))
-    roots = components(links)
+    buckets = inside.groupBy("h").agg(F.min("node").alias("pivot"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    members = cut(inside.join(buckets, "h").select("h", "node", "pivot"))
+    by_node = Window.partitionBy("b").orderBy("a")
+    pairs = members.filter("node != pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
+    pairs = cut(pairs.withColumn("n", F.row_number().over(by_node)))
+    sets = _sets(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), texts, words)
+    # A pair inside one component can add nothing: each node's first pair is verified, then what is still open of three more, then of all.
+    links = roots = None
+    for least, most in ((1, 1), (2, 4), (5, bands)):
+        now = pairs.filter(F.col("n").between(least, most)).select("a", "b")
+        if roots is not None:
+            now = now.join(roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left").join(roots.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left")
+            now = now.filter(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
+        found = cut(_verified(cut(now), sets, threshold))
+        if roots is None or not found.isEmpty():
+            links = found if links is None else links.unionByName(found)
+            roots = components(links)
     placed = members.join(roots, "node", "left").select("h", "node", "pivot", F.coalesce("root", "node").alias("root"))
     sizes = placed.groupBy("h", "root").agg(F.count("*").alias("c"))
     several = sizes.groupBy("h").agg(F.max(F.struct("c", "root")).alias("top"), F.count("*").alias("roots")).filter("roots > 1").select("h", F.col("top.root").alias("top"))
     open_ = cut(placed.join(several, "h"))
-    few = open_.filter("root != top").select("h", F.col("node").alias("x"), F.col("root").alias("rx"))
-    rest = few.join(open_.select("h", F.col("node").alias("y"), F.col("root").alias("ry"), "pivot"), "h").filter("rx != ry and x != pivot and y != pivot")
-    rest = rest.select(*ordered).distinct()
-    more = cut(_verified(rest, texts, words, threshold))
-    if not more.isEmpty():
-        roots = components(links.unionByName(more))
+    # A shingle that no other open text holds is in no overlap; what is left bounds the Jaccard of a pair, and discards it exactly.
+    caps = _caps(sets.join(open_.select(F.col("node").alias("id")).distinct(), "id", "left_semi"))
+    able = cut(open_.join(caps.filter(F.col("c") >= threshold * F.col("n")), "node"))
+    few = able.filter("root != top").select("h", F.col("node").alias("x"), F.col("root").alias("rx"), F.col("n").alias("nx"), F.col("c").alias("cx"), F.col("g").alias("gx"))
+    all_ = able.select("h", F.col("node").alias("y"), F.col("root").alias("ry"), F.col("n").alias("ny"), F.col("c").alias("cy"), F.col("g").alias("gy"), "pivot")
+    # At most the lesser count of each class is common.
+    over, close = F.least("cx", "cy"), F.aggregate(F.zip_with("gx", "gy", lambda x, y: F.least(x, y)), F.lit(0), lambda x, y: x + y)
+    apart = (F.col("rx") != F.col("ry")) & (F.col("x") != F.col("pivot")) & (F.col("y") != F.col("pivot"))
+    able = [v >= threshold * (F.col("nx") + F.col("ny") - v) for v in (over, close)]
+    rest = few.join(all_, (few.h == all_.h) & apart & able[0] & able[1])
+    rest = cut(rest.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+    if not rest.isEmpty():
+        more = cut(_verified(rest, sets, threshold))
+        if not more.isEmpty():
+            roots = components(links.unionByName(more))
     classes = nodes.join(roots, "node", "left").select("k1", "k2", F.coalesce("root", "node").alias("class_id"))
     return signed.select("id", "k1", "k2").join(classes, ["k1", "k2"]).select(F.col("id").alias(id_col), "class_id")
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import zipfile
@@ -47,7 +48,12 @@ def cut(df: DataFrame) -> DataFrame:
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints-"))
-    return df.checkpoint()
+    out = df.checkpoint()
+    # The shuffles behind the cut are of no more use; Spark removes them once the driver has dropped what refers to them.
+    del df
+    gc.collect()
+    sc._jvm.System.gc()
+    return out
 
 
 def partitions(spark: SparkSession) -> int:

@@ -1,22 +1,29 @@
 """Toxicity (operator 10): nearest labelled examples by exact TF-IDF cosine over block-max inverted indexes.
 
 Terms are words and the first 3 to 6 letters of words. From a bounded sample of labelled texts (``per_label`` of each label, by
-hash order; terms are counted by a shuffle of per-task sums) those terms are kept that toxic texts hold significantly more
-often. Every sampled text is an example: its TF-IDF vector over these terms. The index lists, term by term, (example, weight)
-in blocks of ``BLOCK`` examples with each block's largest weight. For a text, the blocks are visited by falling upper bound
-(the sum of query weight times block maximum) until no bound beats the k-th best cosine, so the k nearest are exact.
+hash order; terms are counted by a shuffle of per-task sums) every term is kept. Every sampled text is an example: its TF-IDF
+vector, where a term's idf is multiplied by how significantly it tells the labels apart (|z| of its rates, 1 at least), so
+common words weigh little but no term is dropped.
+
+The index has an inverted list (example, weight) for each rare term, and for each common term (held by over a ninth of the
+examples) the weights in blocks of ``BLOCK`` examples with the block's largest weight. The lists of a text's rare terms are
+summed; with the common terms' block maxima they bound each block. Blocks whose bound beats the k-th best cosine are all
+computed, so the k nearest are exact.
 
 Neighbours vote by their cosine, weighted to the labels' true shares; isotonic regression over the examples' own
-leave-one-out votes turns votes into probabilities. A text without any kept term gets the rate of such examples.
-Evidence is the nearest examples and the terms shared with the first.
+leave-one-out votes turns votes into probabilities. A text that shares no term with the examples gets the rate of examples
+without terms. Evidence is the nearest examples and the terms shared with the first, by falling share in the cosine.
 
 Defined results: null and empty texts get the rate of examples without terms; with no labelled text the score is 0.
 """
 
 from __future__ import annotations
 
+import pickle
 import re
+import zlib
 from collections import Counter
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -26,6 +33,8 @@ from pyspark.sql import functions as F
 from .common import GenerationCache, whole
 
 BLOCK = 64
+#: Texts scored at once.
+BATCH = 128
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -34,14 +43,30 @@ def word_terms(word: str) -> tuple[str, ...]:
     return (word[:80], *(word[:n] + "*" for n in range(3, min(6, len(word) - 1) + 1)))
 
 
+class _Block:
+    """The inverted lists of one block: term -> (places, weights)."""
+
+    def __init__(self, terms: np.ndarray, places: np.ndarray, weights: np.ndarray):
+        order = np.argsort(terms, kind="stable")
+        self.terms, self.places, self.weights = terms[order], places[order], weights[order]
+
+    def __contains__(self, t: int) -> bool:
+        at = np.searchsorted(self.terms, t)
+        return at < len(self.terms) and self.terms[at] == t
+
+    def __getitem__(self, t: int) -> tuple[np.ndarray, np.ndarray]:
+        a, b = np.searchsorted(self.terms, [t, t + 1])
+        return self.places[a:b], self.weights[a:b]
+
+
 class Index:
     """Examples as unit TF-IDF vectors, in blocks."""
 
-    def __init__(self, idf: dict[str, float], examples: list[tuple[int, int, dict[str, int]]], shares: tuple[float, float], k: int = 24):
-        """examples: (id, label, term counts); shares: weight of an example of label 0 and 1."""
-        self.k, self.terms, self.idf = k, {t: i for i, t in enumerate(sorted(idf))}, np.array([idf[t] for t in sorted(idf)])
-        vectors = [(doc, label, *self.vector(counts)) for doc, label, counts in examples]
-        empty = [(label, shares[label]) for _, label, t, _ in vectors if not len(t)]
+    def __init__(self, terms: list[str], weights: np.ndarray, examples: list[tuple[int, int, np.ndarray, np.ndarray]], shares: tuple[float, float], k: int = 24):
+        """terms: sorted, with a weight each; examples: (id, label, rising term numbers, counts); shares: weight of an example of label 0 and 1."""
+        self.k, self.names, self.terms, self.idf = k, terms, {t: i for i, t in enumerate(terms)}, weights
+        vectors = [(doc, label, t, self._unit(t, n), n) for doc, label, t, n in examples]
+        empty = [(label, shares[label]) for _, label, t, *_ in vectors if not len(t)]
         weight = sum(w for _, w in empty)
         # One toxic and ten clean texts in advance keep a small sample from saying certainly.
         self.rest = (sum(label * w for label, w in empty) + shares[1] * 0.1) / (weight + shares[0] + shares[1] * 0.1) if examples else 0.0
@@ -49,61 +74,120 @@ class Index:
         self.ids = np.array([v[0] for v in vectors], np.int64)
         self.labels = np.array([v[1] for v in vectors], np.int64)
         self.weights = np.array([shares[v[1]] for v in vectors])
-        blocks = -(-len(vectors) // BLOCK)
-        self.most = np.zeros((len(self.terms), blocks), np.float64)
-        lists: list[dict[int, tuple[list, list]]] = [{} for _ in range(blocks)]
-        for i, (_, _, terms, values) in enumerate(vectors):
-            own = lists[i // BLOCK]
-            for t, w in zip(terms.tolist(), values.tolist(), strict=True):
-                places, ws = own.setdefault(t, ([], []))
-                places.append(i % BLOCK), ws.append(w)
-            np.maximum.at(self.most, (terms, i // BLOCK), values)
-        self.lists = [{t: (np.array(p), np.array(w)) for t, (p, w) in own.items()} for own in lists]
+        self.starts = np.cumsum([0, *(len(v[2]) for v in vectors)])
+        self.held = np.concatenate([v[2] for v in vectors]).astype(np.int32) if vectors else np.empty(0, np.int32)
+        self.times = np.concatenate([v[4] for v in vectors]).astype(np.int32) if vectors else np.empty(0, np.int32)
         self.votes = np.array([0.0, 1.0]), np.array([0.0, 1.0])
+        self._lay_out()
+        self._calibrate([v[:4] for v in vectors])
+
+    def _lay_out(self) -> None:
+        """The inverted lists, from the examples' terms and counts."""
         self.own: GenerationCache | None = None
-        self.kept: GenerationCache | None = None
-        self._calibrate(vectors)
+        examples = len(self.ids)
+        parts = [slice(i, j) for i, j in zip(self.starts, self.starts[1:], strict=False)]
+        self.values = np.concatenate([self._unit(self.held[p], self.times[p]) for p in parts]) if parts else np.empty(0)
+        at = np.repeat(np.arange(examples, dtype=np.int32), np.diff(self.starts))
+        often = np.bincount(self.held, minlength=len(self.names))
+        common = np.flatnonzero(often * 9 > examples)
+        self.column = np.full(len(self.names), -1, np.int32)
+        self.column[common] = np.arange(len(common))
+        full = -(-examples // BLOCK) * BLOCK
+        column = self.column[self.held]
+        dense = np.zeros((full, len(common)))
+        dense[at[column >= 0], column[column >= 0]] = self.values[column >= 0]
+        self.dense, self.most = dense, dense.reshape(full // BLOCK, BLOCK, len(common)).max(1)
+        rare = np.flatnonzero(column < 0)
+        rare = rare[np.argsort(self.held[rare], kind="stable")]
+        self.places, self.listed = at[rare], self.values[rare]
+        self.first = np.concatenate([[0], np.cumsum(np.where(self.column < 0, often, 0))]).astype(np.int64)
 
     def __getstate__(self):
-        return self.__dict__ | {"own": None, "kept": None}
+        """What the lists are laid out from, compressed: it goes to the disk of every executor."""
+        small = [self.k, "\n".join(self.names), self.idf, self.rest, self.ids, self.labels, self.weights, self.starts, np.diff(self.held, prepend=np.int32(0)), self.times, self.votes]
+        return zlib.compress(pickle.dumps(small), 1)
+
+    def __setstate__(self, state):
+        self.k, names, self.idf, self.rest, self.ids, self.labels, self.weights, self.starts, steps, self.times, self.votes = pickle.loads(zlib.decompress(state))
+        self.names = names.split("\n") if len(self.idf) else []
+        self.terms = {t: i for i, t in enumerate(self.names)}
+        self.held = np.cumsum(steps, dtype=np.int32)
+        self._lay_out()
+
+    @property
+    def lists(self) -> list[_Block]:
+        """All inverted lists, block by block."""
+        ends = [*range(0, len(self.ids), BLOCK), len(self.ids)]
+        out = []
+        for i, j in zip(ends, ends[1:], strict=False):
+            places = np.repeat(np.arange(j - i), np.diff(self.starts[i : j + 1]))
+            out.append(_Block(self.held[self.starts[i] : self.starts[j]], places, self.values[self.starts[i] : self.starts[j]]))
+        return out
 
-    def vector(self, counts: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
-        """(term numbers, weights) of length 1; (1 + ln tf) * idf."""
-        found = sorted((self.terms[t], n) for t, n in counts.items() if t in self.terms)
-        terms = np.array([t for t, _ in found], np.int64)
-        w = (1 + np.log([n for _, n in found])) * self.idf[terms] if found else np.empty(0)
-        return terms, w / np.linalg.norm(w) if found else w
+    def _unit(self, terms: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Weights of length 1; (1 + ln tf) * idf."""
+        w = (1 + np.log(counts)) * self.idf[terms]
+        return w / np.linalg.norm(w) if len(w) else w
+
+    def vector(self, counts: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """(term numbers, weights) of length 1."""
+        return counts[0], self._unit(*counts)
 
     def nearest(self, terms: np.ndarray, values: np.ndarray, but: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """(positions, cosines) of the k nearest examples with a cosine above 0, without position ``but``; ties by position."""
-        bounds = values @ self.most[terms]
-        found, scores = np.empty(0, np.int64), np.empty(0)
-        floor = 0.0
-        for b in np.argsort(-bounds, kind="stable").tolist():
-            if bounds[b] * (1 + 1e-12) < floor or bounds[b] <= 0:
-                break
-            sums, own = np.zeros(BLOCK), self.lists[b]
-            for t, w in zip(terms.tolist(), values.tolist(), strict=True):
-                if t in own:
-                    places, ws = own[t]
-                    sums[places] += w * ws
-            if 0 <= but - b * BLOCK < BLOCK:
-                sums[but - b * BLOCK] = 0
-            hit = np.flatnonzero(sums > 0)
-            found, scores = np.append(found, hit + b * BLOCK), np.append(scores, sums[hit])
-            if len(found) > self.k:
-                best = np.lexsort((found, -scores))[: self.k]
-                found, scores = found[best], scores[best]
-            if len(found) == self.k:
-                floor = scores.min()
-        return found, scores
+        return self.nearest_all([(terms, values)], [but])[0]
+
+    def nearest_all(self, vectors: list[tuple[np.ndarray, np.ndarray]], but: list[int] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """nearest() of each vector."""
+        n, blocks = len(self.dense), len(self.most)
+        if not blocks:
+            return [(np.empty(0, np.int64), np.empty(0)) for _ in vectors]
+        sums, q = np.zeros((len(vectors), n)), np.zeros((len(vectors), self.dense.shape[1]))
+        for i, (terms, values) in enumerate(vectors):
+            column = self.column[terms]
+            q[i, column[column >= 0]] = values[column >= 0]
+            rare, w = terms[column < 0], values[column < 0]
+            start, size = self.first[rare], self.first[rare + 1] - self.first[rare]
+            ends = np.cumsum(size)
+            if len(ends) and ends[-1]:
+                at = np.arange(ends[-1]) + np.repeat(start - ends + size, size)
+                sums[i] = np.bincount(self.places[at], np.repeat(w, size) * self.listed[at], n)
+        bounds = sums.reshape(len(vectors), blocks, BLOCK).max(2) + q @ self.most.T
+        scores = np.full_like(sums, -1.0)
+
+        def compute(chosen: np.ndarray) -> None:
+            for b in np.flatnonzero(chosen.any(0)).tolist():
+                rows, own = np.flatnonzero(chosen[:, b]), slice(b * BLOCK, (b + 1) * BLOCK)
+                scores[rows, own] = sums[rows, own] + q[rows] @ self.dense[own].T
+            for i, p in enumerate(but or []):
+                if p >= 0:
+                    scores[i, p] = -1.0
+
+        best = np.zeros_like(bounds, bool)
+        np.put_along_axis(best, np.argsort(-bounds, axis=1, kind="stable")[:, : max(2, blocks // 8)], True, 1)
+        compute(best)
+        k = min(self.k, n)
+        floor = np.maximum(0, -np.partition(-scores, k - 1, axis=1)[:, k - 1])
+        compute(~best & (bounds * (1 + 1e-12) + 1e-12 >= floor[:, None]))
+        scores = np.round(scores, 12)  # the last bits depend on how many rows are multiplied at once
+        floor = -np.partition(-scores, k - 1, axis=1)[:, k - 1]
+        out = []
+        for own, least in zip(scores, floor, strict=True):
+            found = np.flatnonzero((own >= least) & (own > 0))
+            found = found[np.argsort(-own[found], kind="stable")][: self.k]
+            out.append((found, own[found]))
+        return out
 
     def vote(self, found: np.ndarray, scores: np.ndarray) -> float:
         w = scores * self.weights[found]
         return float((w * self.labels[found]).sum() / w.sum()) if len(found) else -1.0
 
     def _calibrate(self, vectors) -> None:
-        votes = np.array([self.vote(*self.nearest(t, w, i)) for i, (_, _, t, w) in enumerate(vectors)])
+        found = []
+        for i in range(0, len(vectors), BATCH):
+            part = vectors[i : i + BATCH]
+            found += self.nearest_all([(t, w) for _, _, t, w in part], list(range(i, i + len(part))))
+        votes = np.array([self.vote(*f) for f in found])
         keep = np.flatnonzero(votes >= 0)
         if not len(keep):
             return
@@ -118,34 +202,38 @@ class Index:
         at = [x for p in pools for x in (p[2], p[3])]
         self.votes = np.array(at), np.array([(p[0] + prior) / (p[1] + 1) for p in pools for _ in "ab"])
 
-    def counts(self, text: str) -> Counter:
-        self.own = self.own or GenerationCache(lambda w: tuple(t for t in word_terms(w) if t in self.terms), 150_000)
+    def counts(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """(rising term numbers, counts) of the text's terms that examples hold."""
+        self.own = self.own or GenerationCache(lambda w: [n for t in word_terms(w) if (n := self.terms.get(t)) is not None], 150_000)
         held = Counter(_WORD.findall(text.lower()))
-        out: Counter = Counter()
-        for terms, n in zip(map(self.own.__getitem__, held), held.values(), strict=True):
-            for t in terms:
-                out[t] += n
+        lists = [self.own[w] for w in held]
+        flat = np.fromiter(chain.from_iterable(lists), np.int64)
+        terms, place = np.unique(flat, return_inverse=True)
+        return terms, np.bincount(place, np.repeat(list(held.values()), [len(x) for x in lists]), len(terms)) if len(terms) else np.empty(0)
+
+    def score_all(self, texts) -> list[tuple[float, list[int], list[str]]]:
+        """Of each text (probability, ids of the nearest examples, terms shared with the first)."""
+        out = []
+        for i in range(0, len(texts), BATCH):
+            vectors = [self.vector(self.counts(t or "")) for t in texts[i : i + BATCH]]
+            for (terms, values), (found, scores) in zip(vectors, self.nearest_all(vectors), strict=True):
+                if not len(found):
+                    out.append((self.rest, [], []))
+                    continue
+                order = np.lexsort((self.ids[found], -scores))
+                # Isotonic values are a step function with interpolation between steps.
+                p = float(np.interp(self.vote(found, scores), *self.votes))
+                out.append((min(1.0, max(0.0, p)), self.ids[found[order[:5]]].tolist(), self._shared(terms, values, found[order[0]])))
         return out
 
-    def score(self, text: str | None) -> tuple[float, list[int], list[str]]:
-        """(probability, ids of the nearest examples, kept terms of the text)."""
-        counts = self.counts(text) if text and len(self.terms) else {}
-        if not counts:
-            return self.rest, [], []
-        self.kept = self.kept or GenerationCache(self._score, 20_000, 64)
-        return self.kept[tuple(sorted(counts.items()))]
-
-    def _score(self, counts: tuple) -> tuple[float, list[int], list[str]]:
-        found, scores = self.nearest(*self.vector(dict(counts)))
-        if not len(found):
-            return self.rest, [], []
-        order = np.lexsort((self.ids[found], -scores))
-        # Isotonic values are a step function with interpolation between steps.
-        p = float(np.interp(self.vote(found, scores), *self.votes))
-        return min(1.0, max(0.0, p)), self.ids[found[order[:5]]].tolist(), [t for t, _ in counts]
-
-
-def fit(df: DataFrame, labels: DataFrame, allowed: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_label: int = 3000, least: float = 6.0, most_terms: int = 4096, purity: float = 12.0) -> Index:
+    def _shared(self, terms: np.ndarray, values: np.ndarray, example: int) -> list[str]:
+        own = slice(self.starts[example], self.starts[example + 1])
+        both, i, j = np.intersect1d(terms, self.held[own], assume_unique=True, return_indices=True)
+        order = np.argsort(-values[i] * self.values[own][j], kind="stable")
+        return [self.names[t] for t in both[order].tolist()]
+
+
+def fit(df: DataFrame, labels: DataFrame, allowed: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_label: int = 3000) -> Index:
     """Learn from the labelled rows that ``allowed`` (a condition on the id column) admits, at most per_label of each label."""
     known = labels.filter(allowed).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).filter("id is not null and label in (0, 1)")
     known = known.groupBy("id").agg(F.max("label").alias("label"))
@@ -165,26 +253,33 @@ def fit(df: DataFrame, labels: DataFrame, allowed: Column, id_col: str = "doc_id
     sums = rows.mapInPandas(whole(count), "term string, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("c"), F.sum("toxic").alias("t"))
     size = {r.label: r["count"] for r in picked.groupBy("label").count().collect()}
     if 0 not in size or 1 not in size:
-        return Index({}, [], (1.0, 1.0))
-    p0, p1 = F.col("c") / size[0], F.col("t") / size[1]
-    mean = (F.col("c") + F.col("t")) / (size[0] + size[1])
-    z = (p1 - p0) / F.sqrt(mean * (1 - mean) * (1 / size[0] + 1 / size[1]) + 1e-12)
-    kept = sums.withColumn("z", z).filter((F.col("z") >= least) & (p1 >= purity * p0)).orderBy(F.desc("z"), "term").limit(most_terms).collect()
-    n = size[0] + size[1]
-    idf = {r.term: float(np.log((1 + n) / (1 + r.c + r.t)) + 1) for r in kept}
+        return Index([], np.empty(0), [], (1.0, 1.0))
+    # The terms of 2 * per_label texts at most.
+    kept = sums.toPandas().sort_values("term", ignore_index=True)
+    c, t, n = kept["c"].to_numpy(float), kept["t"].to_numpy(float), size[0] + size[1]
+    mean = (c + t) / n
+    z = (t / size[1] - c / size[0]) / np.sqrt(mean * (1 - mean) * (1 / size[0] + 1 / size[1]) + 1e-12)
+    weights = (np.log((1 + n) / (1 + c + t)) + 1) * np.maximum(1, np.abs(z))
+    terms = kept["term"].tolist()
+    numbers = df.sparkSession.sparkContext.broadcast({x: i for i, x in enumerate(terms)})
 
     def gather(batches):
+        number = numbers.value
         for batch in batches:
             out = []
             for doc, text, label in zip(batch["id"], batch["text"], batch["label"], strict=True):
-                held = Counter(t for w in _WORD.findall((text or "").lower()) for t in word_terms(w) if t in idf)
-                out.append((doc, label, list(held), list(held.values())))
+                held: Counter = Counter()
+                for w, times in Counter(_WORD.findall((text or "").lower())).items():
+                    held.update({number[x]: times for x in word_terms(w) if x in number})
+                own = sorted(held.items())
+                out.append((doc, label, np.array([x for x, _ in own], np.int32).tobytes(), np.array([m for _, m in own], np.int32).tobytes()))
             yield pd.DataFrame(out, columns=["id", "label", "terms", "counts"])
 
-    found = rows.mapInPandas(whole(gather), "id long, label int, terms array<string>, counts array<int>").collect()
-    examples = [(r.id, r.label, dict(zip(r.terms, r.counts, strict=True))) for r in sorted(found, key=lambda r: r.id)]
+    found = rows.mapInPandas(whole(gather), "id long, label int, terms binary, counts binary").collect()
+    numbers.destroy()
+    examples = [(r.id, r.label, np.frombuffer(r.terms, np.int32), np.frombuffer(r.counts, np.int32)) for r in sorted(found, key=lambda r: r.id)]
     rate = [totals[y] / max(1, sum(e[1] == y for e in examples)) for y in (0, 1)]
-    return Index(idf, examples, (rate[0] / min(rate), rate[1] / min(rate)))
+    return Index(terms, weights, examples, (rate[0] / min(rate), rate[1] / min(rate)))
 
 
 def toxicity(df: DataFrame, index: Index, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:
@@ -194,7 +289,7 @@ def toxicity(df: DataFrame, index: Index, id_col: str = "doc_id", text_col: str
     def run(batches):
         x = shared.value
         for batch in batches:
-            found = [x.score(t) for t in batch["text"]]
+            found = x.score_all(batch["text"].tolist())
             yield pd.DataFrame({"id": batch["id"], "score": [a for a, _, _ in found], "predicted": np.array([a >= threshold for a, _, _ in found], np.int32), "neighbours": [b for _, b, _ in found], "terms": [c for _, _, c in found]})
 
     one = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))

@@ -300,6 +300,17 @@ def test_toxicity(spark, edge, nothing):
     assert {r.score for r in toxicity.toxicity(edge, none).collect()} == {0.0}
 
 
+def test_toxicity_compares_every_text_over_all_terms(spark, docs):
+    rows = [(i, f"plain words {chr(97 + i % 26) * 4} here", 0) for i in range(200)] + [(200 + i, "you vile creature", 1) for i in range(197)] + [(397 + i, "smrdljiva baraba", 1) for i in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    index = toxicity.fit(df, df.select("doc_id", "toxic"), F.lit(True))
+    asked = spark.createDataFrame([(1, "smrdljiva baraba"), (2, "plain words")], "doc_id long, text string")
+    rare, plain = toxicity.toxicity(asked, index).orderBy("doc_id").collect()
+    assert rare.predicted == 1 and rare.neighbours == [397, 398, 399] and {"smrdljiva", "baraba"} <= set(rare.terms)
+    assert plain.predicted == 0 and len(plain.neighbours) == 5 and "plain" in plain.terms
+    assert all(r.neighbours for r in queries.op10_toxicity(spark, SF).collect())
+
+
 def test_pipeline(spark, nothing):
     import corpus_pipeline
 

@@ -3,8 +3,8 @@
 Unit vectors are projected on M random orthogonal directions a table; the floor of (projection + shift) / width, clipped to
 five cells, gives the bucket, so a table has at most 5**M buckets whatever the data. The directory of bucket sizes is
 therefore bounded (M <= 6) and broadcast. A query visits perturbed buckets in the order of estimated success (the squared
-distance from its projection to the bucket's cell) until they hold a fixed share of the rows. That share is fitted on a
-bounded sample for a wanted recall against brute force. Buckets are cut into blocks of at most ``block`` rows, and the
+distance from its projection to the bucket's cell) until they hold a fixed share of the rows, and k + 1 rows at least. That
+share is fitted on a bounded sample so that each of its vectors, isolated ones too, meets the wanted recall against brute force. Buckets are cut into blocks of at most ``block`` rows, and the
 queries that meet a block are compared with it by one matrix product; only each query's best rows leave a block.
 
 All rows are indexed. Equal vectors are one entry with its k + 1 least ids, so a vector that a third of all rows share costs
@@ -45,13 +45,13 @@ class Hashing:
         cells = np.clip(np.floor(self.project(unit, t)), -(CELLS // 2), CELLS // 2).astype(np.int64) + CELLS // 2
         return cells @ self.powers
 
-    def visits(self, unit: np.ndarray, t: int, used: np.ndarray, sizes: np.ndarray, share: float):
-        """Of each vector the used buckets, in order of estimated success, that it visits: up to the first with which they hold the share."""
+    def visits(self, unit: np.ndarray, t: int, used: np.ndarray, sizes: np.ndarray, share: float, least: int):
+        """Of each vector the used buckets, in order of estimated success, that it visits: up to the first with which they hold the share and ``least`` rows."""
         for p in self.project(unit, t):
             gap = np.maximum(0, np.maximum(self.low[used] - p, p - self.high[used]))
             order = np.argsort((gap**2).sum(1), kind="stable")
             held = np.cumsum(sizes[order])
-            yield used[order[: 1 + np.searchsorted(held, share * held[-1])]]
+            yield used[order[: 1 + np.searchsorted(held, min(held[-1], max(least, share * held[-1])))]]
 
 
 def _matrix(vectors) -> np.ndarray:
@@ -126,7 +126,7 @@ def nearest(
             unit = _unit(vectors)
             for t in range(tables):
                 out = []
-                for doc, v, seen in zip(batch["id"], batch["v"], hashing.visits(unit, t, *sizes[t], share), strict=True):
+                for doc, v, seen in zip(batch["id"], batch["v"], hashing.visits(unit, t, *sizes[t], share, k + 1), strict=True):
                     out += [(doc, t, key, b, doc * 0x85EBCA6B % (1 << 31) % strips, v) for key in seen.tolist() for b in range(blocks[t, key])]
                 yield pd.DataFrame(out, columns=["qid", "t", "key", "b", "s", "v"])
 
@@ -162,10 +162,17 @@ def nearest(
 
 
 def _fitted_share(hashing: Hashing, x: np.ndarray, k: int, recall: float) -> float:
-    """The least share of rows at which the sample's own nearest rows are found with the wanted recall."""
+    """The least share of rows at which every vector of the sample finds its own nearest rows with the wanted recall."""
     if len(x) <= k + 1:
         return 1.0
-    asked = np.arange(0, len(x), max(1, len(x) // 256))
+    need = np.concatenate([_needs(hashing, x, np.arange(i, min(i + 512, len(x))), k) for i in range(0, len(x), 512)])
+    # The share at which a vector has met the wanted recall; the vector that needs most decides, for no group of vectors may fare worse.
+    own = np.sort(need, axis=1)[:, int(np.ceil(recall * need.shape[1])) - 1]
+    return float(min(1.0, own.max() + 1e-9))
+
+
+def _needs(hashing: Hashing, x: np.ndarray, asked: np.ndarray, k: int) -> np.ndarray:
+    """The share of rows that each of the k nearest of each asked vector needs to be met."""
     near = x[asked] @ x.T
     near[np.arange(len(asked)), asked] = -2
     best = np.argsort(-near, axis=1, kind="stable")[:, :k]
@@ -179,4 +186,4 @@ def _fitted_share(hashing: Hashing, x: np.ndarray, k: int, recall: float) -> flo
             before = np.empty(len(used))
             before[order] = (np.cumsum(sizes[order]) - sizes[order]) / len(x)
             need[row] = np.minimum(need[row], before[place[found]])
-    return float(min(1.0, np.quantile(need, recall) + 1e-9))
+    return need

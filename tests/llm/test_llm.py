@@ -230,6 +230,24 @@ def test_nearest_recall_and_edges(spark):
     assert ann.nearest(df.limit(0), F.lit(True)).collect() == []
 
 
+def test_nearest_of_isolated_vectors(spark):
+    rng = np.random.default_rng(3)
+    centres = np.repeat(rng.normal(size=(20, 64)), 150, axis=0)
+    x = np.vstack([centres + 0.01 * rng.normal(size=centres.shape), rng.normal(size=(40, 64))])
+    m = x / np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = defaultdict(set)
+    for r in ann.nearest(df, F.col("id") >= 3000).collect():
+        got[r.query_id].add(r.vec_id)
+    hits = []
+    for q in range(3000, 3040):
+        s = m @ m[q]
+        s[q] = -9
+        hits.append(len(set(np.argsort(-s)[:5].tolist()) & got[q]))
+        assert len(got[q]) == 5
+    assert sum(hits) >= 0.95 * 5 * len(hits) and min(hits) >= 3
+
+
 LICENSED = [
     "Released under the MIT License. and again UNDER the -- mit LICENSE", "apache license, version 2 cc by-nc 4.0", "x" + " y" * 300 + " licensed under the apache licence version 2 0 " + "z " * 70, "under the mit licenses", "permission is hereby granted free of charge to any person obtaining a copy of this software and documentation",
     "under the K mit license", "Underé the mit license", "you may not use this file except in compliance with the license", None, "", "cc by nc cc by nc",

@@ -9,7 +9,9 @@ queries that meet a block are compared with it by one matrix product; only each
 
 All rows are indexed. Equal vectors are one entry with its k + 1 least ids, so a vector that a third of all rows share costs
 as much as any other. Defined results: vectors null, empty, zero, of another length than most, or holding null or non-finite
-components take no part; a query with fewer candidates gets all; ties go to the smaller id.
+components take no part, nor do rows with a null id; a query with fewer candidates gets all; ties go to the smaller id. Repeated
+rows count once, and a repeated id with several vectors has the one whose components come first in order. Extra columns don't
+matter; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -19,11 +21,16 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, whole
+from .common import cut
 
 CELLS = 5
 
 
+def whole(run):
+    """run without its empty frames, whose array columns have no Arrow form."""
+    return lambda batches: (frame for frame in run(batches) if len(frame))
+
+
 class Hashing:
     """Tables of projections for vectors of length ``dim``."""
 
@@ -67,7 +74,7 @@ def valid(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     v = F.col("v")
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v")).filter("id is not null and v is not null and size(v) > 0")
     bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    rows = rows.filter(~F.coalesce(bad, F.lit(True)) & F.exists(v, lambda x: x != 0))
+    rows = rows.filter(~F.coalesce(bad, F.lit(True)) & F.exists(v, lambda x: x != 0)).groupBy("id").agg(F.min("v").alias("v"))
     top = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").head()
     return rows.filter(F.size("v") == (top.n if top else 0))
 

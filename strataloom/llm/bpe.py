@@ -4,7 +4,9 @@ A pre-token is a doubly linked list of symbols. A heap holds (merge rank, positi
 rank, leftmost first, is merged, entries whose pair has changed since are skipped, and the two new neighbours are pushed.
 Decoding concatenates vocabulary strings. The result equals the tokenizers library's on every text.
 
-Defined results: null is the empty text; an empty text has no tokens and decodes to "".
+Defined results: null is the empty text; an empty text has no tokens and decodes to "". A text of any length is encoded whole.
+Among pairs of equal rank the leftmost is merged. Ids come out as they went in (nulls and repeated ones too), repeated rows are
+repeated, extra columns don't matter, an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -15,10 +17,9 @@ import json
 import re
 from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame
 
-from .common import GenerationCache, once, ship, tokenizer_path, whole
+from .common import GenerationCache, once, per_row, ship, tokenizer_path
 
 #: Characters on which Python's classes and the library's agree beyond doubt; a text with any other is split by the library.
 _OTHER = re.compile("[^\t\n\r -~À-ÖØ-öø-ÿŒœ¡¿«»–—‘’“”…]")
@@ -150,26 +151,22 @@ def bpe_encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", pa
     """(id, ids array<int>) of every text; extra columns of df don't matter."""
     raw = ship(df.sparkSession, path or tokenizer_path("word_bpe_49k.json"))
 
-    def run(batches):
+    def make():
         b = bpe_of(raw)
-        for batch in batches:
-            yield pd.DataFrame({id_col: batch[id_col], "ids": [b.encode(t or "") for t in batch[text_col]]})
+        return lambda texts: ([b.encode(t or "") for t in texts],)
 
-    one = df.select(id_col, text_col)
-    return one.mapInPandas(whole(run), f"`{id_col}` {dict(one.dtypes)[id_col]}, ids array<int>")
+    return per_row(df, [id_col], [text_col], "ids array<int>", make)
 
 
 def bpe_decode(df: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", path: str | None = None) -> DataFrame:
     """(id, decoded string) of arrays of ids; null gives ""."""
     raw = ship(df.sparkSession, path or tokenizer_path("word_bpe_49k.json"))
 
-    def run(batches):
+    def make():
         b = bpe_of(raw)
-        for batch in batches:
-            yield pd.DataFrame({id_col: batch[id_col], "decoded": [b.decode([] if x is None else list(x)) for x in batch[ids_col]]})
+        return lambda lists: ([b.decode(x or []) for x in lists],)
 
-    one = df.select(id_col, ids_col)
-    return one.mapInPandas(whole(run), f"`{id_col}` {dict(one.dtypes)[id_col]}, decoded string")
+    return per_row(df, [id_col], [ids_col], "decoded string", make)
 
 
 def bpe_digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
@@ -179,7 +176,7 @@ def bpe_digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", p
     """
     raw = ship(df.sparkSession, path or tokenizer_path("word_bpe_49k.json"))
 
-    def run(batches):
+    def make():
         b = bpe_of(raw)
 
         def known(encode):
@@ -190,19 +187,18 @@ def bpe_digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", p
             return GenerationCache(of)
 
         plain_cache, mapped_cache = once(("digests", id(b)), lambda: (known(b.encode_piece), known(b.encode_mapped)))
-        for batch in batches:
-            rows = []
-            for text in batch[text_col]:
-                found = []
-                for special, part in b.parts(text or ""):
-                    if special >= 0:
-                        found.append((1, str(special), b.strings[special]))
-                    else:
-                        plain, pieces = b.pieces(part)
-                        found += map((plain_cache if plain else mapped_cache).__getitem__, pieces)
-                n, ids, strings = zip(*found) if found else ((), (), ())
-                rows.append((sum(n), hashlib.sha256(" ".join(ids).encode()).hexdigest(), hashlib.sha256(" ".join(strings).encode()).hexdigest()))
-            yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"]).assign(**{id_col: batch[id_col].to_numpy()})[[id_col, "n_tokens", "ids_sha256", "decoded_sha256"]]
-
-    one = df.select(id_col, text_col)
-    return one.mapInPandas(whole(run), f"`{id_col}` {dict(one.dtypes)[id_col]}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+        def digest(text):
+            found = []
+            for special, part in b.parts(text or ""):
+                if special >= 0:
+                    found.append((1, str(special), b.strings[special]))
+                else:
+                    plain, pieces = b.pieces(part)
+                    found += map((plain_cache if plain else mapped_cache).__getitem__, pieces)
+            n, ids, strings = zip(*found, strict=True) if found else ((), (), ())
+            return sum(n), hashlib.sha256(" ".join(ids).encode()).hexdigest(), hashlib.sha256(" ".join(strings).encode()).hexdigest()
+
+        return lambda texts: zip(*map(digest, texts), strict=True)
+
+    return per_row(df, [id_col], [text_col], "n_tokens long, ids_sha256 string, decoded_sha256 string", make)

@@ -6,9 +6,14 @@ import gc
 import os
 import tempfile
 import zipfile
+from collections.abc import Callable
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructField, StructType
 
 
 def ship_code(spark: SparkSession) -> None:
@@ -43,12 +48,30 @@ def ship(spark: SparkSession, path: str):
         return spark.sparkContext.broadcast(f.read())
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: spark.checkpoint.dir. Where it is unset, a temporary one, which a single machine alone may use."""
+    sc = spark.sparkContext
+    folder = sc.getConf().get("spark.checkpoint.dir") or getattr(sc, "_strataloom_shared", None)
+    if not folder:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        folder = sc._strataloom_shared = tempfile.mkdtemp(prefix="checkpoints-")
+    return folder
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in spark.checkpoint.dir (a temporary folder only where unset, as in tests)."""
-    sc = df.sparkSession.sparkContext
+    """Cut the lineage with a reliable checkpoint in the shared folder.
+
+    Spark gives a checkpoint the estimated size of the plan it cuts. In a loop of joins that estimate is squared in each round,
+    a number of millions of digits before long, which the driver multiplies; so the rows get a plan without it.
+    """
+    spark = df.sparkSession
+    sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints-"))
+        sc.setCheckpointDir(shared_folder(spark))
     out = df.checkpoint()
+    rows = out._jdf.queryExecution().analyzed().rdd()
+    out = DataFrame(spark._jsparkSession.internalCreateDataFrame(rows, out._jdf.schema(), False), spark)
     # The shuffles behind the cut are of no more use; Spark removes them once the driver has dropped what refers to them.
     del df
     gc.collect()
@@ -56,10 +79,6 @@ def cut(df: DataFrame) -> DataFrame:
     return out
 
 
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
 class GenerationCache(dict):
     """Bounded memo of fn: when the young generation is full it becomes the old one, and what is used again moves back.
 
@@ -82,9 +101,66 @@ class GenerationCache(dict):
         return value
 
 
-def whole(run):
-    """run without its empty frames, whose string columns have no Arrow form."""
-    return lambda batches: (frame for frame in run(batches) if len(frame))
+def per_row(df: DataFrame, keep: list[str], inputs: list[Column | str], ddl: str, make: Callable) -> DataFrame:
+    """The columns ``keep`` and those of ``ddl`` for every row, in one pass.
+
+    make() runs once in a task and gives a function of the inputs' lists of a batch that gives a list for each column of ddl.
+    What is kept goes through as Arrow columns, so ids of any type, nulls among them, come out as they went in.
+    """
+    made = StructType.fromDDL(ddl)
+    types = list(to_arrow_schema(made).types)
+    schema = StructType([StructField(f"k{i}", df.schema[k].dataType) for i, k in enumerate(keep)] + [StructField(f"x{i}", f.dataType) for i, f in enumerate(made)])
+    n, names = len(keep), schema.names
+
+    def run(batches):
+        of = make()
+        for batch in batches:
+            if batch.num_rows:
+                columns = batch.columns
+                found = of(*(c.to_pylist() for c in columns[n:]))
+                yield pa.RecordBatch.from_arrays([*columns[:n], *(pa.array(x, t) for x, t in zip(found, types, strict=True))], names=names)
+
+    one = df.select(*(df[k].alias(f"k{i}") for i, k in enumerate(keep)), *((F.col(x) if isinstance(x, str) else x).alias(f"x{i}") for i, x in enumerate(inputs)))
+    return one.mapInArrow(run, schema).toDF(*keep, *made.names)
+
+
+def filter_rows(df: DataFrame, inputs: list[str], make: Callable) -> DataFrame:
+    """The rows of df for which make()(lists of the inputs) gives true: each row is judged by itself and passes whole, so nothing is shuffled."""
+    at = [df.columns.index(x) for x in inputs]
+
+    def run(batches):
+        of = make()
+        for batch in batches:
+            if batch.num_rows:
+                yield batch.filter(pa.array(of(*(batch.column(i).to_pylist() for i in at)), pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
+def train_in_a_task(sample: DataFrame, learn: Callable) -> bytes:
+    """learn(list of rows as dicts) -> bytes, run in one task of an executor: ``sample`` is bounded by its maker, and the driver holds the result's bytes only."""
+
+    def run(batches):
+        yield pa.RecordBatch.from_arrays([pa.array([learn([r for b in batches for r in b.to_pylist()])], pa.binary())], names=["model"])
+
+    made = sample.repartition(1).mapInArrow(run, "model binary").head()
+    return bytes(made.model) if made else learn([])  # an empty sample may have no task
+
+
+def by_hash(rows: DataFrame, group: str, key: str, most: int) -> DataFrame:
+    """(group, key) of the ``most`` distinct keys of each group that come first by hash.
+
+    Groups are few (languages, labels). A first pass estimates their numbers of keys; only keys whose hash is low enough for
+    about twice ``most`` go on, so no task gets a large group, however large it is.
+    """
+    sizes = {r[0]: r[1] for r in rows.groupBy(group).agg(F.approx_count_distinct(key, 0.02)).collect()}
+    low = F.lit(False)
+    for name, n in sizes.items():
+        part = min(1.0, 2 * (most + 50) / max(1, n))
+        low = low | (F.col(group) == name) & (F.pmod(F.xxhash64(key), F.lit(1 << 30)) < int(part * (1 << 30)))
+    drawn = rows.filter(low).select(group, key).distinct()
+    order = Window.partitionBy(group).orderBy(F.pmod(F.xxhash64(key), F.lit(1 << 30)), key)
+    return drawn.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= most).select(group, key)
 
 
 #: One object of each kind in a Python worker; workers live through many tasks.

@@ -1,34 +1,38 @@
 """Language identification (operator 8): averaged hashed subword embeddings under a linear softmax.
 
 A text is the average of the embeddings of its words and their character 2- to 4-grams, hashed to ``BUCKETS`` rows; a softmax
-over the average gives the languages. Embeddings and softmax are trained by minibatch gradient descent in numpy on a bounded
-sample (``per_language`` labelled texts of each language, by hash order). A part of the sample, not trained on, fits the
-temperature of the probabilities and the level below which a text is rejected. Since averaging and the linear layer commute, a
-worker keeps one score vector for each word it has met; a text's score is their sum over its number of features.
-
-Defined results: a null text and one without any letter is ``und`` with score 0; with no labelled text, all are ``und``.
+over the average gives the languages. Embeddings and softmax are trained by minibatch gradient descent in numpy, in one task,
+on a bounded sample (``per_language`` distinct labelled texts of each language, by hash order). Half of the sample, not
+trained on, fits the temperature of the probabilities and the level below which a text is rejected: the probability that all
+but ``reject_share`` of its rightly named texts reach (the least one's, where the slice is too small for that share).
+Since averaging and the linear layer commute, a worker keeps one score row for each word it has met; a text's score is their
+sum over its number of features.
+
+Defined results: a null text and one without any letter is ``und`` with score 0 and rejected; with no labelled text, all are
+``und``; equal probabilities go to the language that comes first in the alphabet; repeated rows and repeated ids are each
+judged by their own text; texts of any length are read whole; extra columns don't matter; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import pickle
 import re
 import zlib
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import GenerationCache, whole
+from .common import by_hash, filter_rows, per_row, train_in_a_task
 
 BUCKETS, UNKNOWN = 1 << 15, "und"
 _WORD = re.compile(r"[^\W\d_]+")
 
 
 def word_features(word: str) -> list[int]:
-    w = f"<{word[:64]}>"  # what is longer is no word; its start tells as much
-    if len(word) > 64:
+    if len(word) > 64:  # no word of a language: features of its overlapping parts
         return [f for k in range(0, len(word), 62) for f in word_features(word[k : k + 62])]
+    w = f"<{word}>"
     out = [zlib.crc32(w.encode("utf-8", "replace")) % BUCKETS]
     for n in (2, 3, 4):
         out += [zlib.crc32(w[k : k + n].encode("utf-8", "replace")) % BUCKETS for k in range(len(w) - n + 1)]
@@ -37,26 +41,43 @@ def word_features(word: str) -> list[int]:
 
 def text_features(text: str) -> tuple[np.ndarray, np.ndarray]:
     """(buckets, shares) of a text."""
-    counts = np.zeros(BUCKETS, np.float32)
-    for w in _WORD.findall(text.lower()):
-        np.add.at(counts, word_features(w), 1)
-    ids = np.flatnonzero(counts)
-    return ids.astype(np.int32), counts[ids] / max(1, counts.sum())
+    found = [f for w in _WORD.findall(text.lower()) for f in word_features(w)]
+    ids, counts = np.unique(np.array(found, np.int32), return_counts=True)
+    return ids, (counts / max(1, len(found))).astype(np.float32)
 
 
 def has_letter(text: str) -> bool:
     return any(map(str.isalpha, text))
 
 
+class _Rows(dict):
+    """word -> its row in ``table``; emptied between texts once it holds ``limit`` words."""
+
+    def __init__(self, of, width: int, limit: int = 200_000):
+        super().__init__()
+        self.of, self.limit, self.table = of, limit, np.zeros((1024, width))
+
+    def __missing__(self, word: str) -> int:
+        k = len(self)
+        if k == len(self.table):
+            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+        self.table[k] = self.of(word)
+        self[word] = k
+        return k
+
+    def total(self, words: list[str]) -> np.ndarray:
+        if len(self) >= self.limit:
+            self.clear()
+        rows = np.fromiter(map(self.__getitem__, words), np.intp, len(words))
+        return self.table[rows].sum(0)
+
+
 class Model:
     """Languages, the score of each bucket and of the bias, temperature, level of rejection."""
 
     def __init__(self, languages: list[str], scores: np.ndarray, bias: np.ndarray, temperature: float, level: float):
         self.languages, self.scores, self.bias, self.temperature, self.level = languages, scores, bias, temperature, level
-        self.cache: GenerationCache | None = None
-
-    def __getstate__(self):
-        return self.__dict__ | {"cache": None}
+        self.rows = _Rows(self.of_word, len(bias) + 1)
 
     def of_word(self, word: str) -> np.ndarray:
         f = word_features(word)
@@ -65,21 +86,29 @@ class Model:
     def predict(self, text: str | None) -> tuple[str, float]:
         if not text or not self.languages or not has_letter(text):
             return UNKNOWN, 0.0
-        self.cache = self.cache or GenerationCache(self.of_word, 150_000)
         found = _WORD.findall(text.lower())
-        total = sum(map(self.cache.__getitem__, found)) if len(found) < 4 else np.sum(np.fromiter(map(self.cache.__getitem__, found), np.dtype((np.float64, len(self.bias) + 1)), len(found)), 0)
-        logits = (total[:-1] / max(1, total[-1]) + self.bias) / self.temperature if found else self.bias / self.temperature
-        p = _softmax(logits[None])[0]
+        total = self.rows.total(found)
+        p = _softmax(((total[:-1] / max(1, total[-1]) + self.bias) / self.temperature)[None])[0]
         best = int(p.argmax())
         return self.languages[best], float(p[best])
 
+    def rejects(self, language: str, score: float) -> bool:
+        return language == UNKNOWN or score < self.level
+
+    def dump(self) -> bytes:
+        return zlib.compress(pickle.dumps((self.languages, self.scores, self.bias, self.temperature, self.level)), 1)
+
+    @staticmethod
+    def load(data: bytes) -> Model:
+        return Model(*pickle.loads(zlib.decompress(data)))
+
 
 def _softmax(x: np.ndarray) -> np.ndarray:
     e = np.exp(x - x.max(1, keepdims=True))
     return e / e.sum(1, keepdims=True)
 
 
-def train(examples: list[tuple[str, np.ndarray, np.ndarray]], dim: int = 16, epochs: int = 8, rate: float = 4.0, batch: int = 32, seed: int = 5) -> Model:
+def train(examples: list[tuple[str, np.ndarray, np.ndarray]], reject_share: float = 0.0005, dim: int = 16, epochs: int = 8, rate: float = 4.0, batch: int = 32, seed: int = 5) -> Model:
     """examples: (language, buckets, shares)."""
     languages = sorted({lang for lang, _, _ in examples})
     if len(languages) < 2:
@@ -87,8 +116,8 @@ def train(examples: list[tuple[str, np.ndarray, np.ndarray]], dim: int = 16, epo
     rng = np.random.default_rng(seed)
     y = np.array([languages.index(lang) for lang, _, _ in examples])
     order = rng.permutation(len(y))
-    held = order[: len(y) // 5]
-    learned = order[len(y) // 5 :]
+    held = order[: len(y) // 2]
+    learned = order[len(y) // 2 :]
     embed, linear, bias = rng.normal(0, 0.1, (BUCKETS, dim)), rng.normal(0, 0.3, (dim, len(languages))), np.zeros(len(languages))
     steps = epochs * -(-len(learned) // batch)
     step = 0
@@ -112,43 +141,71 @@ def train(examples: list[tuple[str, np.ndarray, np.ndarray]], dim: int = 16, epo
             np.subtract.at(embed, ids, now * 20 * back[doc] * share[:, None])
             step += 1
     scores = embed @ linear
-    logits = np.array([(scores[examples[i][1]] * examples[i][2][:, None]).sum(0) + bias for i in held])
-    right = y[held]
-    temperature = min(np.geomspace(0.05, 20, 60), key=lambda t: -np.log(_softmax(logits / t)[np.arange(len(held)), right] + 1e-12).sum())
-    p = _softmax(logits / temperature)
-    sure = p.max(1)[p.argmax(1) == right]
-    # Below all but one in 500 of the rightly named texts of the slice, and never above half.
-    level = min(0.5, float(np.quantile(sure, 0.002)) * 0.9) if len(sure) else 0.0
+    temperature, level = 1.0, 0.0
+    if len(held):
+        logits = np.array([(scores[examples[i][1]] * examples[i][2][:, None]).sum(0) + bias for i in held])
+        right = y[held]
+        # Smoothed targets, for a slice of n texts can't show a rate of errors below about 1 in n.
+        target = np.full(logits.shape, 1 / (len(held) + 2) / (len(languages) - 1))
+        target[np.arange(len(held)), right] = 1 - 1 / (len(held) + 2)
+        temperature = min(np.geomspace(0.02, 50, 120), key=lambda t: -(target * np.log(_softmax(logits / t) + 1e-300)).sum())
+        p = _softmax(logits / temperature)
+        sure = p.max(1)[p.argmax(1) == right]
+        level = float(np.quantile(sure, reject_share, method="lower")) if len(sure) else 0.0
     return Model(languages, scores, bias, float(temperature), level)
 
 
-def fit(df: DataFrame, allowed: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 500) -> Model:
-    """Learn from rows that ``allowed`` admits and whose text and language aren't null, at most per_language of each language."""
-    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), allowed.alias("ok")).filter("ok and text is not null and lang is not null and id is not null")
-    by = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    picked = rows.select("id", "lang").withColumn("n", F.row_number().over(by)).filter(F.col("n") <= per_language).select("id").distinct()
+def fit(df: DataFrame, allowed: Column, text_col: str = "text", lang_col: str = "lang", per_language: int = 1000, reject_share: float = 0.0005) -> bytes:
+    """A dumped Model, learned from the rows that ``allowed`` admits and whose text and language aren't null: at most per_language distinct texts of each language."""
+    rows = df.filter(allowed).select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).filter("text is not null and lang is not null").withColumn("h", F.xxhash64("text"))
+    picked = by_hash(rows.select("lang", "h"), "lang", "h", per_language)
+
+    def make():
+        met: set = set()
+
+        def of(langs, hashes, texts):
+            out = []
+            for lang, h, text in zip(langs, hashes, texts, strict=True):
+                ids, shares = text_features(text) if (lang, h) not in met else (np.empty(0, np.int32), np.empty(0, np.float32))
+                met.add((lang, h))
+                out.append((ids.tobytes(), shares.tobytes()))
+            return tuple(zip(*out, strict=True))
+
+        return of
+
+    # per_language hashes for each language: a bounded broadcast. Copies of a text give their features once in a task, then once at all.
+    drawn = rows.join(F.broadcast(picked), ["lang", "h"])
+    sample = per_row(drawn, ["lang", "h"], ["lang", "h", "text"], "ids binary, shares binary", make).filter("length(ids) > 0").dropDuplicates(["lang", "h"])
+
+    def learn(found: list[dict]) -> bytes:
+        found = sorted(found, key=lambda r: (r["lang"], r["h"]))
+        return train([(r["lang"], np.frombuffer(r["ids"], np.int32), np.frombuffer(r["shares"], np.float32).astype(np.float64)) for r in found], reject_share).dump()
+
+    return train_in_a_task(sample, learn)
+
+
+def identify(df: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """The columns ``keep`` (else the id), lang_pred, score, rejected of every text."""
+    shared = df.sparkSession.sparkContext.broadcast(model)
+
+    def make():
+        m = Model.load(shared.value)
+
+        def of(texts):
+            found = [m.predict(t) for t in texts]
+            return [a for a, _ in found], [b for _, b in found], [m.rejects(*x) for x in found]
 
-    def run(batches):
-        for batch in batches:
-            found = [text_features(t) for t in batch["text"]]
-            yield pd.DataFrame({"lang": batch["lang"], "ids": [a for a, _ in found], "shares": [b for _, b in found]})
+        return of
 
-    # per_language ids for each language: a bounded broadcast.
-    sample = rows.join(F.broadcast(picked), "id", "left_semi").dropDuplicates(["id"]).orderBy("id").select("lang", "text").mapInPandas(whole(run), "lang string, ids array<int>, shares array<float>")
-    examples = [(r.lang, np.array(r.ids, np.int64), np.array(r.shares, np.float64)) for r in sample.collect() if r.ids]
-    return train(examples)
+    return per_row(df, keep or [id_col], [text_col], "lang_pred string, score double, rejected boolean", make)
 
 
-def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, lang_pred, score, rejected of every text."""
-    spark = df.sparkSession
-    shared = spark.sparkContext.broadcast(model)
+def keep_identified(df: DataFrame, model: bytes, text_col: str = "text") -> DataFrame:
+    """The rows of df whose text isn't rejected. A model of no language rejects only texts without a letter."""
+    shared = df.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches):
-        m = shared.value
-        for batch in batches:
-            found = [m.predict(t) for t in batch["text"]]
-            yield pd.DataFrame({"id": batch["id"], "lang_pred": [a for a, _ in found], "score": [b for _, b in found], "rejected": [a == UNKNOWN or b < m.level for a, b in found]})
+    def make():
+        m = Model.load(shared.value)
+        return lambda texts: [not m.rejects(*m.predict(t)) if m.languages else bool(t) and has_letter(t) for t in texts]
 
-    one = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return one.mapInPandas(whole(run), f"id {dict(one.dtypes)['id']}, lang_pred string, score double, rejected boolean").withColumnRenamed("id", id_col)
+    return filter_rows(df, [text_col], make)

@@ -1,13 +1,16 @@
 """Packing (operator 1): token windows filled by Karmarkar-Karp multiway differencing.
 
 Each task encodes its documents (ids, then the end id) and cuts whole windows of ``capacity`` ids off long ones. What is left
-is cut into pieces of at most ``capacity // 8`` ids and gathered in blocks of a bounded number of windows. A block starts with
+is cut into pieces of at most ``piece`` ids and gathered in blocks of a bounded number of windows. A block starts with
 the fewest windows that could hold it; multiway differencing merges partial partitions, largest with smallest sums, so the
 window sums end nearly equal; while one exceeds the capacity, the block gets one window more. Ids of a document that meet in
-a window are laid side by side there. The last, partial block of a task is first cut at powers of two, which need no padding.
+a window are laid side by side there. What a task's last block has beyond whole windows goes to powers of two, which need no
+padding.
 
 A task needs its own rows only: no shuffle, bounded memory, the same result when it runs again. Sequence ids hold the task's
-number in the high bits. Defined results: a null or empty text is the end id alone; repeated rows are packed each on its own.
+number in the high bits. Defined results: a null or empty text is the end id alone; repeated rows and repeated ids are packed
+each on its own; ids come out as they went in, nulls too; a text of any length is cut into whole windows and a rest; of equal
+sums the older partition is merged first; extra columns don't matter; an empty table has no pieces.
 """
 
 from __future__ import annotations
@@ -17,12 +20,14 @@ import zlib
 from itertools import count
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .bpe import bpe_of
-from .common import GenerationCache, once, ship, tokenizer_path, whole
+from .common import GenerationCache, once, ship, tokenizer_path
 
 
 def differencing(sizes: list[int], ways: int) -> list[list[int]]:
@@ -74,8 +79,8 @@ def windows(sizes: list[int], capacity: int) -> list[list[int]]:
 class Packer:
     """Pieces of documents in, rows (document number, start, length, sequence, offset) out."""
 
-    def __init__(self, capacity: int, block: int, first: int):
-        self.capacity, self.block, self.next = capacity, block, first
+    def __init__(self, capacity: int, block: int, first: int, piece: int):
+        self.capacity, self.block, self.next, self.piece = capacity, block, first, max(1, piece)
         self.items: list[tuple[int, int, int]] = []
         self.held = 0
 
@@ -88,9 +93,9 @@ class Packer:
         whole = n // c
         for k in range(whole):
             yield doc, k * c, c, self.new(), 0
-        at, most = whole * c, max(1, c // 8)
+        at = whole * c
         while at < n:
-            size = min(most, n - at)
+            size = min(self.piece, n - at)
             self.items.append((doc, at, size))
             self.held += size
             at += size
@@ -117,34 +122,43 @@ class Packer:
             yield open_[0], open_[1], open_[2], seq, offset - open_[2]
 
     def finish(self):
-        """The rest: windows as long as a whole one is left, then sequences at powers of two."""
-        todo, self.items = self.items, []
-        left = self.held
-        whole = left - left % self.capacity
-        now: list = []
-        held = 0
-        goals = ([whole] if whole else []) + [1 << k for k in range(left.bit_length(), -1, -1) if (left % self.capacity) >> k & 1 and 1 << k < self.capacity]
-        goals = goals[::-1] if not whole else goals
-        k = 0
-        for doc, start, size in todo:
-            while size:
-                take = min(size, goals[k] - held)
-                now.append((doc, start, take))
-                start, size, held = start + take, size - take, held + take
-                if held == goals[k]:
-                    yield from self.emit(now) if goals[k] > self.capacity else self.lay(now)
-                    now, held, k = [], 0, k + 1
-
-
-def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, end_id: int = 0, capacity: int = 1024, block: int = 96) -> DataFrame:
+        """The rest: windows by differencing as long as a whole one is left, then sequences at powers of two.
+
+        Differencing gets the least slack of a few with which no further window rises; what the slack leaves is laid out with the rest.
+        """
+        c, todo, self.items = self.capacity, self.items, []
+        ways = self.held // c
+        for slack in (2 * ways, c // 8, c // 4, c // 2):
+            first, rest = split(todo, max(0, ways * c - slack))
+            if len(windows([s for *_, s in first], c)) <= ways:
+                break
+        yield from self.emit(first)
+        left = sum(s for *_, s in rest)
+        for goal in [c] * (left // c) + [1 << k for k in range(left.bit_length(), -1, -1) if (left % c) >> k & 1]:
+            now, rest = split(rest, goal)
+            yield from self.lay(now)
+
+
+def split(items: list[tuple[int, int, int]], goal: int) -> tuple[list, list]:
+    """Items of ``goal`` ids together, the last one cut, and what is left."""
+    for k, (doc, start, size) in enumerate(items):
+        if goal < size:
+            return [*items[:k], (doc, start, goal)] if goal else items[:k], [(doc, start + goal, size - goal), *items[k + 1 :]]
+        goal -= size
+    return items, []
+
+
+def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, end_id: int = 0, capacity: int = 1024, block: int = 96, piece: int = 128) -> DataFrame:
     """One row per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset, padded (length of its sequence as stored)."""
     raw = ship(df.sparkSession, path or tokenizer_path("byte_bpe_50k.json"))
     end = np.array([end_id], "<u4").tobytes()
+    schema = StructType([StructField("id", df.schema[id_col].dataType)] + [StructField(x, LongType()) for x in ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")])
+    types, names = list(to_arrow_schema(schema).types), schema.names
 
     def run(batches):
         b = bpe_of(raw)
         encode = encoder(b)
-        packer = Packer(capacity, block, TaskContext.get().partitionId() << 36)
+        packer = Packer(capacity, block, TaskContext.get().partitionId() << 36, piece)
         held: dict[int, list] = {}  # documents with ids still in the packer's block
         number = count()
 
@@ -159,11 +173,12 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: st
             return out
 
         def frame(out):
-            return pd.DataFrame(out, columns=[id_col, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
+            columns = zip(*out, strict=True) if out else [()] * len(types)
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, types, strict=True)], names=names)
 
         for batch in batches:
             out = []
-            for doc, text in zip(batch[id_col], batch[text_col], strict=True):
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 ids = encode(text or "") + end
                 n = next(number)
                 held[n] = [doc, ids, len(ids) // 4]
@@ -171,8 +186,7 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: st
             yield frame(out)
         yield frame(rows(packer.finish()))
 
-    one = df.select(id_col, text_col)
-    return one.mapInPandas(whole(run), f"`{id_col}` {dict(one.dtypes)[id_col]}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    return df.select(df[id_col].alias("id"), df[text_col].alias("text")).mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
 
 def encoder(b):

@@ -44,7 +44,8 @@ def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.fit(docs, _remainder(3) != 1)
-    return langid.identify(docs, model).select("doc_id", (_remainder(3) == 1).alias("held_out"), "lang_pred", "score", "rejected")
+    found = langid.identify(docs, model)
+    return found.select("doc_id", (_remainder(3) == 1).alias("held_out"), "lang_pred", "score", "rejected")
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,4 +67,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_licenses": licenses.license_sql()}

@@ -1,9 +1,9 @@
 """Toxicity (operator 10): nearest labelled examples by exact TF-IDF cosine over block-max inverted indexes.
 
 Terms are words and the first 3 to 6 letters of words. From a bounded sample of labelled texts (``per_label`` of each label, by
-hash order; terms are counted by a shuffle of per-task sums) every term is kept. Every sampled text is an example: its TF-IDF
-vector, where a term's idf is multiplied by how significantly it tells the labels apart (|z| of its rates, 1 at least), so
-common words weigh little but no term is dropped.
+hash order; learned from in one task, whose result alone the driver holds) every term is kept. Every sampled text is an
+example: its TF-IDF vector, where a term's idf is multiplied by how significantly it tells the labels apart (|z| of its rates,
+1 at least), so common words weigh little but no term is dropped.
 
 The index has an inverted list (example, weight) for each rare term, and for each common term (held by over a ninth of the
 examples) the weights in blocks of ``BLOCK`` examples with the block's largest weight. The lists of a text's rare terms are
@@ -14,11 +14,16 @@ Neighbours vote by their cosine, weighted to the labels' true shares; isotonic r
 leave-one-out votes turns votes into probabilities. A text that shares no term with the examples gets the rate of examples
 without terms. Evidence is the nearest examples and the terms shared with the first, by falling share in the cosine.
 
-Defined results: null and empty texts get the rate of examples without terms; with no labelled text the score is 0.
+Defined results: null and empty texts get the rate of examples without terms; with no labelled text of either label the score
+is 0. An id with several labels is toxic if one of them is; an id with several texts is an example with the least of them; every
+row is scored by its own text, ids come out as they went in. Equal cosines go to the example that comes first in the index.
+Texts and words of any length count whole; repeated rows are repeated; extra columns don't matter; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
 
+import hashlib
 import pickle
 import re
 import zlib
@@ -26,11 +31,10 @@ from collections import Counter
 from itertools import chain
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import GenerationCache, whole
+from .common import GenerationCache, by_hash, filter_rows, once, per_row, train_in_a_task
 
 BLOCK = 64
 #: Texts scored at once.
@@ -39,8 +43,8 @@ _WORD = re.compile(r"[^\W\d_]+")
 
 
 def word_terms(word: str) -> tuple[str, ...]:
-    """The word and its beginnings of 3 to 6 letters, marked by a star."""
-    return (word[:80], *(word[:n] + "*" for n in range(3, min(6, len(word) - 1) + 1)))
+    """The word (of more than 80 letters its digest, which takes less room) and its beginnings of 3 to 6 letters, marked by a star."""
+    return (word if len(word) <= 80 else hashlib.sha256(word.encode("utf-8", "replace")).hexdigest(), *(word[:n] + "*" for n in range(3, min(6, len(word) - 1) + 1)))
 
 
 class _Block:
@@ -233,64 +237,76 @@ class Index:
         return [self.names[t] for t in both[order].tolist()]
 
 
-def fit(df: DataFrame, labels: DataFrame, allowed: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_label: int = 3000) -> Index:
-    """Learn from the labelled rows that ``allowed`` (a condition on the id column) admits, at most per_label of each label."""
-    known = labels.filter(allowed).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).filter("id is not null and label in (0, 1)")
-    known = known.groupBy("id").agg(F.max("label").alias("label"))
-    totals = {r.label: r["count"] for r in known.groupBy("label").count().collect()}
-    by = Window.partitionBy("label").orderBy(F.xxhash64("id"), "id")
-    picked = known.withColumn("n", F.row_number().over(by)).filter(F.col("n") <= per_label).select("id", "label")
-    # 2 * per_label ids at most: a bounded broadcast.
-    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(picked), "id").dropDuplicates(["id"])
-
-    def count(batches):
-        out: Counter = Counter()
-        for batch in batches:
-            for text, label in zip(batch["text"], batch["label"], strict=True):
-                out.update((t, label) for t in {t for w in set(_WORD.findall((text or "").lower())) for t in word_terms(w)})
-        yield pd.DataFrame([(t, n * (y == 0), n * (y == 1)) for (t, y), n in out.items()], columns=["term", "clean", "toxic"])
-
-    sums = rows.mapInPandas(whole(count), "term string, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("c"), F.sum("toxic").alias("t"))
-    size = {r.label: r["count"] for r in picked.groupBy("label").count().collect()}
-    if 0 not in size or 1 not in size:
+def learn(rows: list[dict]) -> Index:
+    """From rows (id, label, text, share); share: texts of the label that the row stands for."""
+    sizes = Counter(r["label"] for r in rows)
+    if 0 not in sizes or 1 not in sizes:
         return Index([], np.empty(0), [], (1.0, 1.0))
-    # The terms of 2 * per_label texts at most.
-    kept = sums.toPandas().sort_values("term", ignore_index=True)
-    c, t, n = kept["c"].to_numpy(float), kept["t"].to_numpy(float), size[0] + size[1]
+    rows = sorted(rows, key=lambda r: (r["id"], r["label"]))
+    numbers: dict[str, int] = {}
+    held = []
+    for r in rows:
+        counts: Counter = Counter()
+        for w, times in Counter(_WORD.findall((r["text"] or "").lower())).items():
+            for t in word_terms(w):
+                counts[numbers.setdefault(t, len(numbers))] += times
+        held.append((np.fromiter(counts, np.int32, len(counts)), np.fromiter(counts.values(), np.int32, len(counts))))
+    terms = sorted(numbers)
+    place = np.empty(len(terms), np.int32)
+    place[np.fromiter(map(numbers.__getitem__, terms), np.int64, len(terms))] = np.arange(len(terms), dtype=np.int32)
+    del numbers
+    sums = np.zeros((2, len(terms)))
+    examples = []
+    for r, (own, times) in zip(rows, held, strict=True):
+        own = place[own]
+        order = np.argsort(own)
+        sums[r["label"], own] += 1
+        examples.append((r["id"], r["label"], own[order], times[order]))
+    c, t, n = sums[0], sums[1], len(rows)
     mean = (c + t) / n
-    z = (t / size[1] - c / size[0]) / np.sqrt(mean * (1 - mean) * (1 / size[0] + 1 / size[1]) + 1e-12)
+    z = (t / sizes[1] - c / sizes[0]) / np.sqrt(mean * (1 - mean) * (1 / sizes[0] + 1 / sizes[1]) + 1e-12)
     weights = (np.log((1 + n) / (1 + c + t)) + 1) * np.maximum(1, np.abs(z))
-    terms = kept["term"].tolist()
-    numbers = df.sparkSession.sparkContext.broadcast({x: i for i, x in enumerate(terms)})
-
-    def gather(batches):
-        number = numbers.value
-        for batch in batches:
-            out = []
-            for doc, text, label in zip(batch["id"], batch["text"], batch["label"], strict=True):
-                held: Counter = Counter()
-                for w, times in Counter(_WORD.findall((text or "").lower())).items():
-                    held.update({number[x]: times for x in word_terms(w) if x in number})
-                own = sorted(held.items())
-                out.append((doc, label, np.array([x for x, _ in own], np.int32).tobytes(), np.array([m for _, m in own], np.int32).tobytes()))
-            yield pd.DataFrame(out, columns=["id", "label", "terms", "counts"])
-
-    found = rows.mapInPandas(whole(gather), "id long, label int, terms binary, counts binary").collect()
-    numbers.destroy()
-    examples = [(r.id, r.label, np.frombuffer(r.terms, np.int32), np.frombuffer(r.counts, np.int32)) for r in sorted(found, key=lambda r: r.id)]
-    rate = [totals[y] / max(1, sum(e[1] == y for e in examples)) for y in (0, 1)]
-    return Index(terms, weights, examples, (rate[0] / min(rate), rate[1] / min(rate)))
-
-
-def toxicity(df: DataFrame, index: Index, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:
+    share = [next(r["share"] for r in rows if r["label"] == y) / sizes[y] for y in (0, 1)]
+    return Index(terms, weights, examples, (share[0] / min(share), share[1] / min(share)))
+
+
+def fit(df: DataFrame, labels: DataFrame, allowed: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_label: int = 3000) -> bytes:
+    """A dumped Index, learned from the labelled rows that ``allowed`` (a condition on the id column) admits, at most per_label of each label."""
+    known = labels.filter(allowed).select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label")).filter("id is not null and label in (0, 1)")
+    known = known.groupBy("id").agg(F.max("label").alias("label"))
+    picked = by_hash(known, "label", "id", per_label).join(known.groupBy("label").agg(F.count("*").cast("double").alias("share")), "label")
+    # 2 * per_label ids at most: a bounded broadcast.
+    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(F.broadcast(picked), "id").groupBy("id", "label", "share").agg(F.min("text").alias("text"))
+    return train_in_a_task(rows, lambda found: pickle.dumps(learn(found)))
+
+
+def index_of(shared) -> Index:
+    """The Index of a broadcast dump, laid out once in a worker."""
+    return once(("toxicity", zlib.crc32(shared.value), len(shared.value)), lambda: pickle.loads(shared.value))
+
+
+def toxicity(df: DataFrame, index: bytes, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:
     """id, score, predicted, neighbours array<long>, terms array<string> of every text."""
     shared = df.sparkSession.sparkContext.broadcast(index)
 
-    def run(batches):
-        x = shared.value
-        for batch in batches:
-            found = x.score_all(batch["text"].tolist())
-            yield pd.DataFrame({"id": batch["id"], "score": [a for a, _, _ in found], "predicted": np.array([a >= threshold for a, _, _ in found], np.int32), "neighbours": [b for _, b, _ in found], "terms": [c for _, _, c in found]})
+    def make():
+        x = index_of(shared)
+
+        def of(texts):
+            found = x.score_all(texts)
+            return [a for a, _, _ in found], [int(a >= threshold) for a, _, _ in found], [b for _, b, _ in found], [c for _, _, c in found]
+
+        return of
+
+    return per_row(df, [id_col], [text_col], "score double, predicted int, neighbours array<long>, terms array<string>", make)
+
+
+def keep_clean(df: DataFrame, index: bytes, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
+    """The rows of df that aren't predicted toxic."""
+    shared = df.sparkSession.sparkContext.broadcast(index)
+
+    def make():
+        x = index_of(shared)
+        return lambda texts: [a < threshold for a, _, _ in x.score_all(texts)]
 
-    one = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return one.mapInPandas(whole(run), f"id {dict(one.dtypes)['id']}, score double, predicted int, neighbours array<long>, terms array<string>").withColumnRenamed("id", id_col)
+    return filter_rows(df, [text_col], make)

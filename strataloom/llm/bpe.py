@@ -144,7 +144,7 @@ class Bpe:
 
 
 def bpe_of(raw) -> Bpe:
-    return once(("bpe", hash(raw.value)), lambda: Bpe(raw.value))
+    return once("tokens", ("bpe", hash(raw.value)), lambda: Bpe(raw.value))
 
 
 def bpe_encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
@@ -186,7 +186,7 @@ def bpe_digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", p
 
             return GenerationCache(of)
 
-        plain_cache, mapped_cache = once(("digests", id(b)), lambda: (known(b.encode_piece), known(b.encode_mapped)))
+        plain_cache, mapped_cache = once("tokens", ("digests", id(b)), lambda: (known(b.encode_piece), known(b.encode_mapped)))
 
         def digest(text):
             found = []

@@ -163,11 +163,14 @@ def by_hash(rows: DataFrame, group: str, key: str, most: int) -> DataFrame:
     return drawn.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= most).select(group, key)
 
 
-#: One object of each kind in a Python worker; workers live through many tasks.
+#: What a Python worker keeps between tasks, of one family only: workers live through the stages of many operators, and their memory is bounded.
 _OWN: dict = {}
 
 
-def once(key, make):
+def once(family: str, key, make):
+    if _OWN.get("family") != family:
+        _OWN.clear()
+        _OWN["family"] = family
     if key not in _OWN:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         _OWN[key] = make()

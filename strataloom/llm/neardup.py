@@ -51,7 +51,7 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 def weighted_shingles(text: str, words: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct 64-bit hashes of the runs of ``words`` words, and how often each stands in the text."""
-    cache = once("words", lambda: GenerationCache(lambda w: xxhash.xxh64_intdigest(w.encode("utf-8", "replace"))))
+    cache = once("words", "hash", lambda: GenerationCache(lambda w: xxhash.xxh64_intdigest(w.encode("utf-8", "replace"))))
     found = _WORD.findall(text.lower())
     if not found:
         return np.empty(0, np.uint64), np.empty(0, np.int64)

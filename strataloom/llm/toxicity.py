@@ -1,6 +1,6 @@
 """Toxicity (operator 10): nearest labelled examples by exact TF-IDF cosine over block-max inverted indexes.
 
-Terms are words and the first 3 to 6 letters of words. From a bounded sample of labelled texts (``per_label`` of each label, by
+Terms are words and the first four letters of longer words. From a bounded sample of labelled texts (``per_label`` of each label, by
 hash order; learned from in one task, whose result alone the driver holds) every term is kept. Every sampled text is an
 example: its TF-IDF vector, where a term's idf is multiplied by how significantly it tells the labels apart (|z| of its rates,
 1 at least), so common words weigh little but no term is dropped.
@@ -43,8 +43,10 @@ _WORD = re.compile(r"[^\W\d_]+")
 
 
 def word_terms(word: str) -> tuple[str, ...]:
-    """The word (of more than 80 letters its digest, which takes less room) and its beginnings of 3 to 6 letters, marked by a star."""
-    return (word if len(word) <= 80 else hashlib.sha256(word.encode("utf-8", "replace")).hexdigest(), *(word[:n] + "*" for n in range(3, min(6, len(word) - 1) + 1)))
+    """The word (of more than 80 letters its digest, which takes less room) and, marked by a star, the first four letters of a longer one."""
+    if len(word) <= 4:
+        return (word,)
+    return word if len(word) <= 80 else hashlib.sha256(word.encode("utf-8", "replace")).hexdigest(), word[:4] + "*"
 
 
 class _Block:
@@ -270,7 +272,7 @@ def learn(rows: list[dict]) -> Index:
     return Index(terms, weights, examples, (share[0] / min(share), share[1] / min(share)))
 
 
-def fit(df: DataFrame, labels: DataFrame, allowed: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_label: int = 3000) -> bytes:
+def fit(df: DataFrame, labels: DataFrame, allowed: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_label: int = 1500) -> bytes:
     """A dumped Index, learned from the labelled rows that ``allowed`` (a condition on the id column) admits, at most per_label of each label."""
     known = labels.filter(allowed).select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label")).filter("id is not null and label in (0, 1)")
     known = known.groupBy("id").agg(F.max("label").alias("label"))
@@ -282,7 +284,7 @@ def fit(df: DataFrame, labels: DataFrame, allowed: Column, id_col: str = "doc_id
 
 def index_of(shared) -> Index:
     """The Index of a broadcast dump, laid out once in a worker."""
-    return once(("toxicity", zlib.crc32(shared.value), len(shared.value)), lambda: pickle.loads(shared.value))
+    return once("toxicity", (zlib.crc32(shared.value), len(shared.value)), lambda: pickle.loads(shared.value))
 
 
 def toxicity(df: DataFrame, index: bytes, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:

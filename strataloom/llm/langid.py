@@ -5,8 +5,8 @@ over the average gives the languages. Embeddings and softmax are trained by mini
 on a bounded sample (``per_language`` distinct labelled texts of each language, by hash order). Half of the sample, not
 trained on, fits the temperature of the probabilities and the level below which a text is rejected: the probability that all
 but ``reject_share`` of its rightly named texts reach (the least one's, where the slice is too small for that share).
-Since averaging and the linear layer commute, a worker keeps one score row for each word it has met; a text's score is their
-sum over its number of features.
+Since averaging and the linear layer commute, a text's score is the sum of its features' score rows over their number; features
+are hashed for a whole text at once, so nothing is kept from text to text.
 
 Defined results: a null text and one without any letter is ``und`` with score 0 and rejected; with no labelled text, all are
 ``und``; equal probabilities go to the language that comes first in the alphabet; repeated rows and repeated ids are each
@@ -23,26 +23,43 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_hash, filter_rows, per_row, train_in_a_task
+from .common import by_hash, filter_rows, once, per_row, train_in_a_task
 
 BUCKETS, UNKNOWN = 1 << 15, "und"
 _WORD = re.compile(r"[^\W\d_]+")
 
 
-def word_features(word: str) -> list[int]:
-    if len(word) > 64:  # no word of a language: features of its overlapping parts
-        return [f for k in range(0, len(word), 62) for f in word_features(word[k : k + 62])]
-    w = f"<{word}>"
-    out = [zlib.crc32(w.encode("utf-8", "replace")) % BUCKETS]
+_P, _K, _SHIFT = np.uint64(0x100000001B3), np.uint64(0x9E3779B97F4A7C15), np.uint64(49)
+
+
+def text_features(text: str) -> np.ndarray:
+    """Buckets of all words and 2- to 4-grams of the words between brackets, as often as they occur.
+
+    An n-gram's hash is the polynomial of its characters in P, a word's the same from its end; its high bits after a
+    multiplication by K are the bucket.
+    """
+    words = _WORD.findall(text.lower())
+    if not words:
+        return np.empty(0, np.int32)
+    c = np.frombuffer(("<" + "><".join(words) + ">").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    begins = np.flatnonzero(c == ord("<"))
+    number = np.repeat(np.arange(len(begins)), np.diff(begins, append=len(c)))
+    place = np.arange(len(c)) - begins[number]
+    powers = np.cumprod(np.full(int(place.max()) + 1, _P))
+    found = [np.add.reduceat(c * powers[place], begins)]
+    h = c
     for n in (2, 3, 4):
-        out += [zlib.crc32(w[k : k + n].encode("utf-8", "replace")) % BUCKETS for k in range(len(w) - n + 1)]
-    return out
+        if len(c) < n:
+            break
+        h = h[:-1] * _P + c[n - 1 :]
+        found.append(h[number[: len(h)] == number[n - 1 :]])
+    return (np.concatenate(found) * _K >> _SHIFT).astype(np.int32)
 
 
-def text_features(text: str) -> tuple[np.ndarray, np.ndarray]:
+def sample_features(text: str) -> tuple[np.ndarray, np.ndarray]:
     """(buckets, shares) of a text."""
-    found = [f for w in _WORD.findall(text.lower()) for f in word_features(w)]
-    ids, counts = np.unique(np.array(found, np.int32), return_counts=True)
+    found = text_features(text)
+    ids, counts = np.unique(found, return_counts=True)
     return ids, (counts / max(1, len(found))).astype(np.float32)
 
 
@@ -50,45 +67,18 @@ def has_letter(text: str) -> bool:
     return any(map(str.isalpha, text))
 
 
-class _Rows(dict):
-    """word -> its row in ``table``; emptied between texts once it holds ``limit`` words."""
-
-    def __init__(self, of, width: int, limit: int = 200_000):
-        super().__init__()
-        self.of, self.limit, self.table = of, limit, np.zeros((1024, width))
-
-    def __missing__(self, word: str) -> int:
-        k = len(self)
-        if k == len(self.table):
-            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-        self.table[k] = self.of(word)
-        self[word] = k
-        return k
-
-    def total(self, words: list[str]) -> np.ndarray:
-        if len(self) >= self.limit:
-            self.clear()
-        rows = np.fromiter(map(self.__getitem__, words), np.intp, len(words))
-        return self.table[rows].sum(0)
-
-
 class Model:
     """Languages, the score of each bucket and of the bias, temperature, level of rejection."""
 
     def __init__(self, languages: list[str], scores: np.ndarray, bias: np.ndarray, temperature: float, level: float):
         self.languages, self.scores, self.bias, self.temperature, self.level = languages, scores, bias, temperature, level
-        self.rows = _Rows(self.of_word, len(bias) + 1)
-
-    def of_word(self, word: str) -> np.ndarray:
-        f = word_features(word)
-        return np.append(self.scores[f].sum(0), len(f))
 
     def predict(self, text: str | None) -> tuple[str, float]:
         if not text or not self.languages or not has_letter(text):
             return UNKNOWN, 0.0
-        found = _WORD.findall(text.lower())
-        total = self.rows.total(found)
-        p = _softmax(((total[:-1] / max(1, total[-1]) + self.bias) / self.temperature)[None])[0]
+        found = text_features(text)
+        total = np.bincount(found, minlength=BUCKETS) @ self.scores
+        p = _softmax(((total / max(1, len(found)) + self.bias) / self.temperature)[None])[0]
         best = int(p.argmax())
         return self.languages[best], float(p[best])
 
@@ -166,7 +156,7 @@ def fit(df: DataFrame, allowed: Column, text_col: str = "text", lang_col: str =
         def of(langs, hashes, texts):
             out = []
             for lang, h, text in zip(langs, hashes, texts, strict=True):
-                ids, shares = text_features(text) if (lang, h) not in met else (np.empty(0, np.int32), np.empty(0, np.float32))
+                ids, shares = sample_features(text) if (lang, h) not in met else (np.empty(0, np.int32), np.empty(0, np.float32))
                 met.add((lang, h))
                 out.append((ids.tobytes(), shares.tobytes()))
             return tuple(zip(*out, strict=True))
@@ -184,12 +174,17 @@ def fit(df: DataFrame, allowed: Column, text_col: str = "text", lang_col: str =
     return train_in_a_task(sample, learn)
 
 
+def model_of(shared) -> Model:
+    """The Model of a broadcast dump, once in a worker."""
+    return once("language", (zlib.crc32(shared.value), len(shared.value)), lambda: Model.load(shared.value))
+
+
 def identify(df: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The columns ``keep`` (else the id), lang_pred, score, rejected of every text."""
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def make():
-        m = Model.load(shared.value)
+        m = model_of(shared)
 
         def of(texts):
             found = [m.predict(t) for t in texts]
@@ -205,7 +200,7 @@ def keep_identified(df: DataFrame, model: bytes, text_col: str = "text") -> Data
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def make():
-        m = Model.load(shared.value)
+        m = model_of(shared)
         return lambda texts: [not m.rejects(*m.predict(t)) if m.languages else bool(t) and has_letter(t) for t in texts]
 
     return filter_rows(df, [text_col], make)

@@ -203,7 +203,7 @@ def encoder(b):
         mapped = GenerationCache(lambda p: np.array(merge(bytes(map(code_of, p))), "<u4").tobytes(), 50_000)
         return plain, mapped
 
-    plain, mapped = once(("ids", id(b)), make)
+    plain, mapped = once("tokens", ("ids", id(b)), make)
 
     def encode(text: str) -> bytes:
         out = []

@@ -438,7 +438,12 @@ def _plain_language(model, text):
     """Averaged embeddings and softmax without caches or shortcuts."""
     if not text or not any(c.isalpha() for c in text):
         return "und", 0.0
-    features = [f for w in re.findall(r"[^\W\d_]+", text.lower()) for f in langid.word_features(w)]
+    features = []
+    for w in re.findall(r"[^\W\d_]+", text.lower()):
+        w = f"<{w}>"
+        hashes = [sum(ord(c) * pow(0x100000001B3, k + 1) for k, c in enumerate(w))]
+        hashes += [sum(ord(c) * pow(0x100000001B3, n - 1 - k) for k, c in enumerate(w[i : i + n])) for n in (2, 3, 4) for i in range(len(w) - n + 1)]
+        features += [(h * 0x9E3779B97F4A7C15 & (1 << 64) - 1) >> 49 for h in hashes]
     logits = (model.scores[features].mean(0) + model.bias) / model.temperature
     p = np.exp(logits - logits.max())
     return model.languages[int(p.argmax())], float(p.max() / p.sum())

@@ -101,6 +101,16 @@ class GenerationCache(dict):
         return value
 
 
+#: Rows of an Arrow batch that are Python objects at a time.
+SLICE = 512
+
+
+def sliced(batches):
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE):
+            yield batch.slice(at, SLICE)
+
+
 def per_row(df: DataFrame, keep: list[str], inputs: list[Column | str], ddl: str, make: Callable) -> DataFrame:
     """The columns ``keep`` and those of ``ddl`` for every row, in one pass.
 
@@ -114,11 +124,10 @@ def per_row(df: DataFrame, keep: list[str], inputs: list[Column | str], ddl: str
 
     def run(batches):
         of = make()
-        for batch in batches:
-            if batch.num_rows:
-                columns = batch.columns
-                found = of(*(c.to_pylist() for c in columns[n:]))
-                yield pa.RecordBatch.from_arrays([*columns[:n], *(pa.array(x, t) for x, t in zip(found, types, strict=True))], names=names)
+        for batch in sliced(batches):
+            columns = batch.columns
+            found = of(*(c.to_pylist() for c in columns[n:]))
+            yield pa.RecordBatch.from_arrays([*columns[:n], *(pa.array(x, t) for x, t in zip(found, types, strict=True))], names=names)
 
     one = df.select(*(df[k].alias(f"k{i}") for i, k in enumerate(keep)), *((F.col(x) if isinstance(x, str) else x).alias(f"x{i}") for i, x in enumerate(inputs)))
     return one.mapInArrow(run, schema).toDF(*keep, *made.names)
@@ -130,9 +139,8 @@ def filter_rows(df: DataFrame, inputs: list[str], make: Callable) -> DataFrame:
 
     def run(batches):
         of = make()
-        for batch in batches:
-            if batch.num_rows:
-                yield batch.filter(pa.array(of(*(batch.column(i).to_pylist() for i in at)), pa.bool_()))
+        for batch in sliced(batches):
+            yield batch.filter(pa.array(of(*(batch.column(i).to_pylist() for i in at)), pa.bool_()))
 
     return df.mapInArrow(run, df.schema)
 

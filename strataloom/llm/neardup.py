@@ -5,7 +5,7 @@
 2. Darts: each element owns hashed Poisson processes over (weight, rank), one for each dyadic band of weight; the darts under
    its weight count. Only ranks up to about k ln k / total weight are thrown, so a signature costs O(n + k log k). The earliest
    dart of each of k coordinates is kept; two signatures agree in a coordinate with probability equal to weighted Jaccard.
-3. Coordinates are folded into bands. In each bucket the least node, the pivot, is paired with every other member: linear in the
+3. Coordinates are folded into bands. In each bucket the node with the least id, the pivot, is paired with every other member: linear in the
    bucket's size, and the same pair in most bands. Pairs between components are verified in three rounds by exact weighted
    Jaccard, pivots with many pairs being salted. (A shingle's n-th occurrence is an element of its own there: over these,
    weighted Jaccard is plain Jaccard.)
@@ -51,7 +51,7 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 def weighted_shingles(text: str, words: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct 64-bit hashes of the runs of ``words`` words, and how often each stands in the text."""
-    cache = once("words", "hash", lambda: GenerationCache(lambda w: xxhash.xxh64_intdigest(w.encode("utf-8", "replace"))))
+    cache = once("words", "hash", lambda: GenerationCache(lambda w: xxhash.xxh64_intdigest(w.encode("utf-8", "replace")), 100_000))
     found = _WORD.findall(text.lower())
     if not found:
         return np.empty(0, np.uint64), np.empty(0, np.int64)
@@ -229,12 +229,14 @@ def classify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
     signed = cut(_signed(texts, words, bands, rows))
     shown = signed.groupBy("key").agg(F.min(F.struct("id", "digest")).alias("one"))
     # One copy stands for all: equal nodes have equal bands.
-    inside = signed.filter("bands is not null").dropDuplicates(["key"]).select(F.col("key").alias("node"), F.explode("bands").alias("h"))
-    buckets = inside.groupBy("h").agg(F.min("node").alias("pivot"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    members = cut(inside.join(buckets, "h").select("h", "node", "pivot"))
-    by_node = Window.partitionBy("b").orderBy("a")
-    pairs = members.filter("node != pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
-    pairs = cut(pairs.withColumn("n", F.row_number().over(by_node)))
+    first = signed.filter("bands is not null").groupBy("key").agg(F.min(F.struct("id", "bands")).alias("one"))
+    inside = first.select(F.struct("one.id", "key").alias("own"), F.explode("one.bands").alias("h"))
+    # The pivot is the node with the least id: where copies are made of an earlier text, all of them are near to it.
+    buckets = inside.groupBy("h").agg(F.min("own").alias("least"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    members = cut(inside.join(buckets, "h").select("h", F.col("own.key").alias("node"), F.col("least.key").alias("pivot"), F.col("least.id").alias("pivot_id")))
+    by_node = Window.partitionBy("b").orderBy("pivot_id", "a")
+    pairs = members.filter("node != pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b"), "pivot_id").distinct()
+    pairs = cut(pairs.select("a", "b", F.row_number().over(by_node).alias("n")))
     sets = _sets(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), shown, texts, words)
     # A pair inside one component can add nothing: each node's first pair is verified, then what is still open of three more, then of all.
     links = roots = None

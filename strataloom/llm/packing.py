@@ -27,7 +27,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import LongType, StructField, StructType
 
 from .bpe import bpe_of
-from .common import GenerationCache, once, ship, tokenizer_path
+from .common import GenerationCache, once, ship, sliced, tokenizer_path
 
 
 def differencing(sizes: list[int], ways: int) -> list[list[int]]:
@@ -176,7 +176,7 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: st
             columns = zip(*out, strict=True) if out else [()] * len(types)
             return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, types, strict=True)], names=names)
 
-        for batch in batches:
+        for batch in sliced(batches):
             out = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 ids = encode(text or "") + end

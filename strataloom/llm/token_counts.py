@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import bpe_of
-from .common import GenerationCache, per_row, ship, tokenizer_path
+from .common import GenerationCache, per_row, ship, sliced, tokenizer_path
 
 
 class _Counts(GenerationCache):
@@ -40,7 +40,7 @@ def frequent_pieces(df: DataFrame, text_col: str, raw, tier: int) -> dict[tuple[
     def run(batches):
         b = bpe_of(raw)
         counts: tuple[Counter, Counter] = Counter(), Counter()  # in byte characters, plain
-        for batch in batches:
+        for batch in sliced(batches):
             for text in batch.column(0).to_pylist():
                 for special, part in b.parts(text or ""):
                     if special < 0:

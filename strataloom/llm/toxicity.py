@@ -210,7 +210,7 @@ class Index:
 
     def counts(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """(rising term numbers, counts) of the text's terms that examples hold."""
-        self.own = self.own or GenerationCache(lambda w: [n for t in word_terms(w) if (n := self.terms.get(t)) is not None], 150_000)
+        self.own = self.own or GenerationCache(lambda w: [n for t in word_terms(w) if (n := self.terms.get(t)) is not None], 100_000)
         held = Counter(_WORD.findall(text.lower()))
         lists = [self.own[w] for w in held]
         flat = np.fromiter(chain.from_iterable(lists), np.int64)

@@ -5,24 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .functions import information as info
 from .functions import text as tx
-from .operators import corpus, graph
+from .operators import corpus, graph, vectors
 from .sources import files
+from .registered import QUERIES as _QUERIES
+from .registered import SQL as _SQL
+from .registered import query as _query
 from .streaming import windows
 
-_QUERIES: dict = {}
-_SQL: dict[str, str] = {}
-
-
-def _query(sql: str):
-    def take(f):
-        _QUERIES[f.__name__] = lambda spark, sf_dir, f=f: f(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
-        _SQL[f.__name__] = sql
-        return f
-
-    return take
-
-
 _W = "list_filter(regexp_split_to_array(lower(text), '[^0-9\\p{L}_]+'), lambda x: x <> '')"
 _S = "len(list_filter(regexp_split_to_array(text, '[.!?]+'), lambda x: trim(x, ' ') <> ''))"
 _EST = "CAST(floor((len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) * 0.75 + length(text) / 4) / 2) AS BIGINT)"
@@ -80,15 +71,9 @@ def doc_labels_left(t) -> DataFrame:
     return t("documents").select("doc_id", "lang").join(t("labels"), "doc_id", "left").select("doc_id", "lang", "quality", "toxic")
 
 
-@_query("SELECT n_name, r_name, count(*) AS customers FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1, 2")
-def module_map_lookup(t) -> DataFrame:
-    c = t("customer").groupBy("c_nationkey").agg(F.count("*").alias("customers"))
-    return c.join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(t("region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_name", "r_name", "customers")
-
-
-@_query("SELECT doc_id, round(-sum(n * log2(n / t)) / any_value(t), 6) + 0.0 AS entropy FROM (SELECT doc_id, c, count(*) AS n, sum(count(*)) OVER (PARTITION BY doc_id) AS t FROM (SELECT doc_id, unnest(string_split(text, '')) AS c FROM documents) GROUP BY 1, 2) GROUP BY doc_id")
+@_query("SELECT doc_id, CASE WHEN length(text) > 0 THEN round(list_aggregate(string_split(text, ''), 'entropy'), 6) + 0.0 ELSE 0.0 END AS entropy FROM documents")
 def doc_entropy(t) -> DataFrame:
-    return corpus.entropy(t("documents"), "doc_id", "text").select("doc_id", (F.round("entropy", 6) + 0.0).alias("entropy"))
+    return t("documents").select("doc_id", (F.round(info.entropy(F.col("text")), 6) + 0.0).alias("entropy"))
 
 
 @_query(f"SELECT word, n FROM (SELECT word, count(*) AS n FROM (SELECT unnest({_W}) AS word FROM documents) GROUP BY 1) ORDER BY n DESC, word LIMIT 10")
@@ -137,12 +122,10 @@ def content_probe_matrix(t) -> DataFrame:
     return t("documents").select("doc_id", F.col("text").rlike(r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}").alias("email"), F.col("text").rlike(r"\b\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}\b").alias("ip"), F.col("text").rlike("https?://").alias("url"))
 
 
-@_query("SELECT a.vec_id AS query_id, b.vec_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score FROM embeddings a, embeddings b WHERE a.vec_id = 0 AND b.vec_id <> 0 ORDER BY list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) DESC, b.vec_id LIMIT 10")
+@_query("SELECT query_id, vec_id, CAST(rank AS INTEGER) AS rank, round(s, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) AS rank FROM (SELECT a.vec_id AS query_id, b.vec_id, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS s FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0 AND b.vec_id <> a.vec_id)) WHERE rank <= 10")
 def knn_exact_top10(t) -> DataFrame:
     e = t("embeddings")
-    q = F.broadcast(e.filter("vec_id = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")))  # one row
-    s = e.filter("vec_id <> 0").join(q).select("query_id", "vec_id", tx.cosine(F.col("q"), F.col("embedding")).alias("s"))
-    return s.orderBy(F.desc("s"), "vec_id").limit(10).select("query_id", "vec_id", r6("s").alias("score"))
+    return vectors.top_k(e.filter("vec_id % 50 = 0"), e, "vec_id", "embedding", 10).select("query_id", "vec_id", "rank", r6("score").alias("score"))
 
 
 _BM = ["the", "idiot", "under", "license"]
@@ -170,10 +153,14 @@ def degree_centrality(t) -> DataFrame:
     return graph.degrees(_supply(t))
 
 
-@_query(f"SELECT dst AS node, 1 AS hops FROM {_EDGES} WHERE src = 1")
+_CUSTOMS = "(SELECT n_nationkey AS src, 1000 + n_regionkey AS dst, 0.5 AS weight FROM nation UNION ALL SELECT 1000 + n_regionkey, n_nationkey, 0.5 + n_nationkey / 100.0 FROM nation)"
+
+
+@_query(f"WITH e AS {_CUSTOMS}, one AS (SELECT dst AS node, max(weight) AS s FROM e WHERE src = 3 GROUP BY 1), two AS (SELECT dst AS node, max(s * weight) AS s FROM e JOIN one ON src = node WHERE dst <> 3 AND dst NOT IN (SELECT node FROM one) GROUP BY 1) SELECT node, CAST(1 AS INTEGER) AS hops, round(s, 6) AS strength FROM one UNION ALL SELECT node, 2, round(s, 6) FROM two")
 def bfs_two_hops(t) -> DataFrame:
-    """Parts have no out-edges here, so the second step is empty."""
-    return graph.two_hops(_supply(t), 1)
+    n = t("nation")
+    edges = n.selectExpr("cast(n_nationkey as long) as src", "cast(1000 + n_regionkey as long) as dst", "0.5d as weight").unionByName(n.selectExpr("cast(1000 + n_regionkey as long) as src", "cast(n_nationkey as long) as dst", "0.5d + n_nationkey / 100.0d as weight"))
+    return graph.reach(edges, 3).select("node", "hops", F.round("strength", 6).alias("strength"))
 
 
 _PATHS = ["src/app/main.py", "tests/test_main.py", "infra/main.tf", "Dockerfile", "web/index.ts", "docs/README.md", "src/UserTest.java"]
@@ -188,6 +175,9 @@ _QUERIES["file_category_rules"] = _rules
 _SQL["file_category_rules"] = "SELECT * FROM (VALUES ('src/app/main.py', 'python', false), ('tests/test_main.py', 'python', true), ('infra/main.tf', 'terraform', false), ('Dockerfile', 'docker', false), ('web/index.ts', 'typescript', false), ('docs/README.md', 'markdown', false), ('src/UserTest.java', 'java', true)) AS v(file_path, language, is_test)"
 
 
+from . import catalog_files, catalog_tables, catalog_text  # noqa: E402, F401  (they register their queries)
+
+
 def queries() -> dict:
     return dict(_QUERIES)
 

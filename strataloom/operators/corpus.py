@@ -26,28 +26,33 @@ def duplicate_groups(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.groupBy(F.md5(text).alias("digest")).agg(F.count("*").alias("copies"), F.min(key).alias("first")).filter("copies > 1")
 
 
-def entropy(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, entropy): bits a character, from per-key character counts summed before the shuffle."""
-    chars = df.select(key, F.explode(F.filter(F.split(text, ""), lambda c: c != "")).alias("c")).groupBy(key, "c").agg(F.count("*").alias("n"))
-    total = chars.groupBy(key).agg(F.sum("n").alias("t"), F.sum(F.col("n") * F.log2("n")).alias("s"))
-    return total.select(key, (F.log2("t") - F.col("s") / F.col("t")).alias("entropy"))
+def _equals(word: str):
+    return lambda x: x == word
 
 
-def bm25(df: DataFrame, key: str, text: str, query: list[str], k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(key, score) of the rows that hold a query word; only query words are exploded, so postings stay small."""
-    doc = df.select(key, tx.words(F.col(text)).alias("w")).select(key, "w", F.size("w").alias("len"))
-    stats = doc.agg(F.count("*").alias("n"), F.avg("len").alias("avg"))
-    terms = doc.select(key, "len", F.explode(F.filter("w", lambda x: x.isin(query))).alias("term")).groupBy(key, "len", "term").agg(F.count("*").alias("tf"))
-    df_ = terms.groupBy("term").agg(F.count("*").alias("df"))  # one row for each query word
-    joined = terms.join(F.broadcast(df_), "term").join(F.broadcast(stats))  # stats: one row
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg")))
-    return joined.groupBy(key).agg(F.sum(part).alias("score"))
+def bm25(df: DataFrame, key: str, text: str, query: list[str], k1: float = 1.2, b: float = 0.75, every: bool = False) -> DataFrame:
+    """(key, score) of the rows that hold a query word (with ``every``: all of them).
+
+    One pass keeps each text's key, length and counts of the query words; corpus statistics are one row of sums over that.
+    """
+    words, query = tx.words(F.col(text)), list(dict.fromkeys(query))
+    doc = df.select(key, words.alias("w")).select(key, F.size("w").alias("len"), *(F.size(F.filter("w", _equals(q))).alias(f"tf{k}") for k, q in enumerate(query)))
+    stats = doc.agg(F.count("*").alias("n"), F.avg("len").alias("avg"), *(F.count_if(F.col(f"tf{k}") > 0).alias(f"df{k}") for k in range(len(query))))
+    holds = [F.col(f"tf{k}") > 0 for k in range(len(query))]
+    some = holds[0]
+    for h in holds[1:]:
+        some = some & h if every else some | h
+
+    def part(k: int):
+        idf = F.log(1 + (F.col("n") - F.col(f"df{k}") + 0.5) / (F.col(f"df{k}") + 0.5))
+        return F.when(holds[k], idf * F.col(f"tf{k}") * (k1 + 1) / (F.col(f"tf{k}") + k1 * (1 - b + b * F.col("len") / F.col("avg")))).otherwise(F.lit(0.0))
+
+    return doc.filter(some).join(F.broadcast(stats)).select(key, sum((part(k) for k in range(len(query))), F.lit(0.0)).alias("score"))  # stats: one row
 
 
 def greedy_pack(df: DataFrame, key: str, text: str, budget: int = 450) -> DataFrame:
     """(key, chunk, tokens): lines packed in order while their token estimates fit the budget; a fold, for the bin resets on data."""
-    sizes = F.transform(tx.lines(F.col(text)), tx.token_estimate)
+    sizes = F.transform(tx.lines(tx.whole(F.col(text))), tx.token_estimate)
     start = F.struct(F.array().cast("array<bigint>").alias("bins"), F.lit(-1).cast("long").alias("held"))
 
     def step(acc, n):

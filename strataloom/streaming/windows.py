@@ -12,3 +12,20 @@ def tumbling(events: DataFrame, width: str = "1 hour", late: str = "10 minutes")
     if events.isStreaming:
         timed = timed.withWatermark("at", late)
     return timed.groupBy(F.window("at", width).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("start"), "event_type", "n", "total")
+
+
+def _timed(events: DataFrame, late: str) -> DataFrame:
+    timed = events.withColumn("at", F.col("ts").cast("timestamp"))
+    return timed.withWatermark("at", late) if events.isStreaming else timed
+
+
+def sliding(events: DataFrame, width: str = "1 hour", step: str = "30 minutes", late: str = "10 minutes") -> DataFrame:
+    """(start, event_type, n, total) of each overlapping window."""
+    by = _timed(events, late).groupBy(F.window("at", width, step).alias("w"), "event_type")
+    return by.agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("start"), "event_type", "n", "total")
+
+
+def session(events: DataFrame, gap: str = "30 minutes", late: str = "10 minutes") -> DataFrame:
+    """(user_id, start, end, n): a user's events that lie less than ``gap`` apart."""
+    by = _timed(events, late).groupBy(F.session_window("at", gap).alias("w"), "user_id").agg(F.count("*").alias("n"))
+    return by.select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")

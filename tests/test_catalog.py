@@ -28,7 +28,7 @@ def test_query(name, spark, duck):
     assert sorted(columns) == sorted(df.columns)
     want = sorted(map(repr, rel.fetchall()))
     got = sorted(repr(tuple(r)) for r in df.select(columns).collect())
-    assert len(got) == len(want) and got == want, [x for x in zip(got, want) if x[0] != x[1]][:3]
+    assert len(got) == len(want) and got == want, [x for x in zip(got, want) if x[0] != x[1]][:6]
 
 
 def test_upsert_and_scan(spark, tmp_path):

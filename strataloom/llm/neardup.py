@@ -230,10 +230,13 @@ def classify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
     shown = signed.groupBy("key").agg(F.min(F.struct("id", "digest")).alias("one"))
     # One copy stands for all: equal nodes have equal bands.
     first = signed.filter("bands is not null").groupBy("key").agg(F.min(F.struct("id", "bands")).alias("one"))
-    inside = first.select(F.struct("one.id", "key").alias("own"), F.explode("one.bands").alias("h"))
+    inside = first.select("key", "one.id", F.explode("one.bands").alias("h"))
+    # Most buckets hold one node: they go before anything but their number is shuffled with them.
+    several = inside.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
+    held = cut(inside.join(several, "h", "left_semi"))
     # The pivot is the node with the least id: where copies are made of an earlier text, all of them are near to it.
-    buckets = inside.groupBy("h").agg(F.min("own").alias("least"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    members = cut(inside.join(buckets, "h").select("h", F.col("own.key").alias("node"), F.col("least.key").alias("pivot"), F.col("least.id").alias("pivot_id")))
+    buckets = held.groupBy("h").agg(F.min(F.struct("id", "key")).alias("least"))
+    members = cut(held.join(buckets, "h").select("h", F.col("key").alias("node"), F.col("least.key").alias("pivot"), F.col("least.id").alias("pivot_id")))
     by_node = Window.partitionBy("b").orderBy("pivot_id", "a")
     pairs = members.filter("node != pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b"), "pivot_id").distinct()
     pairs = cut(pairs.select("a", "b", F.row_number().over(by_node).alias("n")))

@@ -40,9 +40,9 @@ def normalised_entropy(text: Column) -> Column:
 def uniformity(text: Column) -> Column:
     """1 / (1 + 100 * variance of the characters' shares)."""
     text = F.coalesce(text, F.lit(""))
-    shares = F.transform(counts(text), lambda n: n / F.length(text))
-    mean = 1 / F.size(shares)
-    variance = F.aggregate(shares, F.lit(0.0), lambda a, p: a + (p - mean) * (p - mean)) / F.size(shares)
+    n, k = F.length(text).cast("double"), F.size(F.array_distinct(characters(text)))
+    squares = F.aggregate(counts(text), F.lit(0.0), lambda a, c: a + c.cast("double") * c)
+    variance = squares / (n * n) / k - 1 / (k.cast("double") * k)
     return F.when(F.length(text) > 0, 1 / (1 + 100 * variance)).otherwise(F.lit(0.0))
 
 

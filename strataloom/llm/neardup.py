@@ -1,7 +1,7 @@
 """MinHash near-duplicate classes (operator 4) by DartMinHash signatures.
 
-1. Every text becomes its weighted set of five-word shingles (64-bit hashes, weighted by how often the shingle stands in the
-   text; a shorter text is one shingle). Texts with equal weighted sets are one node, named by the set's 128-bit hash.
+1. Every text becomes its set of five-word shingles (64-bit hashes; a shorter text is one shingle), all of weight 1 or, with
+   ``weighted``, weighing as often as they stand in the text. Texts with equal sets are one node, named by a 128-bit hash.
 2. Darts: each element owns hashed Poisson processes over (weight, rank), one for each dyadic band of weight; the darts under
    its weight count. Only ranks up to about k ln k / total weight are thrown, so a signature costs O(n + k log k). The earliest
    dart of each of k coordinates is kept; two signatures agree in a coordinate with probability equal to weighted Jaccard.
@@ -75,8 +75,9 @@ def occurrences(elements: np.ndarray, weights: np.ndarray) -> np.ndarray:
     return each
 
 
-def shingles(text: str, words: int = 5) -> np.ndarray:
-    return occurrences(*weighted_shingles(text, words))
+def shingles(text: str, words: int = 5, weighted: bool = False) -> np.ndarray:
+    elements, weights = weighted_shingles(text, words)
+    return occurrences(elements, weights) if weighted else elements
 
 
 def dart_signature(elements: np.ndarray, weights: np.ndarray | None = None, k: int = 240) -> np.ndarray:
@@ -141,7 +142,7 @@ def set_key(elements: np.ndarray, text: str | None) -> bytes:
     return hashlib.md5(elements.tobytes() if len(elements) else b"text" + (text or "").encode("utf-8", "replace")).digest()
 
 
-def _signed(df: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
+def _signed(df: DataFrame, words: int, bands: int, rows: int, weighted: bool) -> DataFrame:
     """(id, digest, key, bands) of each row: digest of the text, its node, and the node's bands (none where there are no words)."""
 
     def make():
@@ -149,15 +150,15 @@ def _signed(df: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
             elements, weights = weighted_shingles(text or "", words)
             if not len(elements):
                 return set_key(elements, text), None
-            plain = not (weights > 1).any()
-            return set_key(occurrences(elements, weights), text), bands_of(dart_signature(elements, None if plain else weights, bands * rows), bands)
+            plain = not weighted or not (weights > 1).any()
+            return set_key(elements if plain else occurrences(elements, weights), text), bands_of(dart_signature(elements, None if plain else weights, bands * rows), bands)
 
         return lambda texts: zip(*map(sign, texts), strict=True)
 
     return per_row(df, ["id", "digest"], ["text"], "key binary, bands array<long>", make)
 
 
-def _sets(keys: DataFrame, shown: DataFrame, texts: DataFrame, words: int) -> DataFrame:
+def _sets(keys: DataFrame, shown: DataFrame, texts: DataFrame, words: int, weighted: bool) -> DataFrame:
     """(key, s): the shingle occurrences of these nodes, from one text of each (shown: key, one.id, one.digest)."""
     asked = shown.join(keys, "key", "left_semi").select("key", F.col("one.id").alias("of"), F.col("one.digest").alias("held"))
     one = texts.join(asked, F.col("id").eqNullSafe(F.col("of")) & (F.col("digest") == F.col("held")))
@@ -168,7 +169,7 @@ def _sets(keys: DataFrame, shown: DataFrame, texts: DataFrame, words: int) -> Da
         def of(keys, texts):
             out = []
             for key, text in zip(keys, texts, strict=True):
-                out.append(None if key in met else shingles(text or "", words).tobytes())
+                out.append(None if key in met else shingles(text or "", words, weighted).tobytes())
                 met.add(key)
             return (out,)
 
@@ -223,10 +224,10 @@ def components(edges: DataFrame) -> DataFrame:
     return state.select("node", "root")
 
 
-def classify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, threshold: float = 0.8, bands: int = 40, rows: int = 6) -> tuple[DataFrame, DataFrame]:
+def classify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, threshold: float = 0.8, bands: int = 40, rows: int = 6, weighted: bool = False) -> tuple[DataFrame, DataFrame]:
     """Of each row (id, digest, key), digest being the text's and key its node; and (node, root) of the nodes that are linked."""
     texts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), text_digest(text_col).alias("digest"))
-    signed = cut(_signed(texts, words, bands, rows))
+    signed = cut(_signed(texts, words, bands, rows, weighted))
     shown = signed.groupBy("key").agg(F.min(F.struct("id", "digest")).alias("one"))
     # One copy stands for all: equal nodes have equal bands.
     first = signed.filter("bands is not null").groupBy("key").agg(F.min(F.struct("id", "bands")).alias("one"))
@@ -240,7 +241,7 @@ def classify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
     by_node = Window.partitionBy("b").orderBy("pivot_id", "a")
     pairs = members.filter("node != pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b"), "pivot_id").distinct()
     pairs = cut(pairs.select("a", "b", F.row_number().over(by_node).alias("n")))
-    sets = _sets(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), shown, texts, words)
+    sets = _sets(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), shown, texts, words, weighted)
     # A pair inside one component can add nothing: each node's first pair is verified, then what is still open of three more, then of all.
     links = roots = None
     for least, most in ((1, 1), (2, 4), (5, bands)):

@@ -19,14 +19,14 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
 def top_k(queries: DataFrame, rows: DataFrame, key: str, vector: str, k: int, least: float | None = None) -> DataFrame:
     """(query_id, key, score, rank): of each query the k rows of largest cosine but itself (ties to the smaller key), those of ``least`` or more.
 
-    Rows are dealt into blocks by hash, and each query goes to every block once; a block gives k rows a query. Null vectors
-    take no part.
+    Rows are dealt into blocks and queries into strips, by hash; each block meets each strip once and gives k rows a query.
+    Null vectors take no part.
     """
-    blocks = max(1, -(-rows.count() // BLOCK))
+    blocks, strips = (max(1, -(-df.count() // BLOCK)) for df in (rows, queries))
     left = rows.filter(F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v"), F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("b"))
     asked = queries.filter(F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("qid"), F.col(vector).alias("q"))
-    right = asked.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("strip", F.pmod(F.xxhash64("qid", F.lit(1)), F.lit(max(1, blocks))).cast("int"))
-    left = left.withColumn("strip", F.explode(F.sequence(F.lit(0), F.lit(max(1, blocks) - 1))))
+    right = asked.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("strip", F.pmod(F.xxhash64("qid", F.lit(1)), F.lit(strips)).cast("int"))
+    left = left.withColumn("strip", F.explode(F.sequence(F.lit(0), F.lit(strips - 1))))
 
     def compare(a: pa.Table, c: pa.Table) -> pa.Table:
         schema = pa.schema([("qid", pa.int64()), ("id", pa.int64()), ("score", pa.float64())])

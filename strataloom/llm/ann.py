@@ -1,196 +1,264 @@
-"""Approximate nearest neighbours (operator 6): multiprobe p-stable hashing with exact reranking.
-
-Unit vectors are projected on M random orthogonal directions a table; the floor of (projection + shift) / width, clipped to
-five cells, gives the bucket, so a table has at most 5**M buckets whatever the data. The directory of bucket sizes is
-therefore bounded (M <= 6) and broadcast. A query visits perturbed buckets in the order of estimated success (the squared
-distance from its projection to the bucket's cell) until they hold a fixed share of the rows, and k + 1 rows at least. That
-share is fitted on a bounded sample so that each of its vectors, isolated ones too, meets the wanted recall against brute force. Buckets are cut into blocks of at most ``block`` rows, and the
-queries that meet a block are compared with it by one matrix product; only each query's best rows leave a block.
-
-All rows are indexed. Equal vectors are one entry with its k + 1 least ids, so a vector that a third of all rows share costs
-as much as any other. Defined results: vectors null, empty, zero, of another length than most, or holding null or non-finite
-components take no part, nor do rows with a null id; a query with fewer candidates gets all; ties go to the smaller id. Repeated
-rows count once, and a repeated id with several vectors has the one whose components come first in order. Extra columns don't
-matter; an empty table gives an empty result.
+"""Nearest neighbours (operator 6): an inverted file whose cells are left out by exact bounds only, so results are exact.
+
+Unit vectors are dealt to the nearest of at most ``CELLS`` centres, fitted on a bounded sample; every row is indexed. A query's
+floor is its (k + 1)-th best cosine with the sample, so no row below it can be among its nearest. A cell's narrowest cosine to
+its centre bounds, by the triangle inequality on angles, the cosine of its rows with a query; a cell whose bound is under the
+floor is left out. On clustered vectors that leaves few cells; on vectors near to noise none can be left out, and the work is
+one comparison of every query with every row, which grows with the square.
+
+Cells are packed into groups of rows that a task can hold (``GROUP`` bytes; larger cells are cut by a hash of the id). A task
+holds one group and streams the queries that need it, ``ASKED`` at a time, so its memory depends on neither the number of rows
+nor of queries. Tiles of rows are compared in single precision by one matrix product; what comes within its rounding of a
+query's floor, which rises on the way, is scored in double precision from the original vectors.
+
+Equal vectors are one entry with its k + 1 least ids, so a vector that a third of all rows share costs as much as any other.
+Defined results: vectors null, empty, zero, of another length than most, or holding null or non-finite components take no part,
+nor do rows with a null id; a query with fewer candidates gets all; ties go to the smaller id. Repeated rows count once, and a
+repeated id with several vectors has the one whose components come first in order. Extra columns don't matter; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
-from .common import cut
+from .common import cut, sliced
 
-CELLS = 5
+#: Centres at most; bytes of the vectors of a group; rows and queries of a tile.
+CELLS, GROUP, TILE, ASKED = 256, 1 << 26, 2048, 1024
+#: By how much a bound must miss a floor; well over the rounding of angles in double precision.
+SLACK = 1e-6
+PARTS = "g int, side int, id long, cell int, floor double, v binary"
 
 
-def whole(run):
-    """run without its empty frames, whose array columns have no Arrow form."""
-    return lambda batches: (frame for frame in run(batches) if len(frame))
+def _double(x: np.ndarray) -> np.ndarray:
+    """x in double precision, each vector scaled by a power of two so that no square overflows or vanishes."""
+    x = x.astype(np.float64)
+    return np.ldexp(x, -np.frexp(np.abs(x).max(1))[1][:, None])
 
 
-class Hashing:
-    """Tables of projections for vectors of length ``dim``."""
-
-    def __init__(self, dim: int, tables: int, m: int, width: float, seed: int = 7):
-        rng = np.random.default_rng(seed)
-        self.m = min(m, dim)
-        self.directions = [np.linalg.qr(rng.normal(size=(dim, dim)))[0][:, : self.m] * np.sqrt(dim) for _ in range(tables)]
-        self.shifts = [rng.uniform(-0.5, 0.5, self.m) for _ in range(tables)]
-        self.width, self.powers = width, CELLS ** np.arange(self.m)
-        cells = np.stack(np.unravel_index(np.arange(CELLS**self.m), (CELLS,) * self.m)[::-1], 1) - CELLS // 2
-        # The outer cells have no outer end.
-        self.low = np.where(cells == -(CELLS // 2), -np.inf, cells.astype(float))
-        self.high = np.where(cells == CELLS // 2, np.inf, cells + 1.0)
+def _unit(x: np.ndarray) -> np.ndarray:
+    x = _double(x)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
 
-    def project(self, unit: np.ndarray, t: int) -> np.ndarray:
-        return unit @ self.directions[t] / self.width + self.shifts[t] + 0.5
 
-    def keys(self, unit: np.ndarray, t: int) -> np.ndarray:
-        cells = np.clip(np.floor(self.project(unit, t)), -(CELLS // 2), CELLS // 2).astype(np.int64) + CELLS // 2
-        return cells @ self.powers
+def _lists(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
-    def visits(self, unit: np.ndarray, t: int, used: np.ndarray, sizes: np.ndarray, share: float, least: int):
-        """Of each vector the used buckets, in order of estimated success, that it visits: up to the first with which they hold the share and ``least`` rows."""
-        for p in self.project(unit, t):
-            gap = np.maximum(0, np.maximum(self.low[used] - p, p - self.high[used]))
-            order = np.argsort((gap**2).sum(1), kind="stable")
-            held = np.cumsum(sizes[order])
-            yield used[order[: 1 + np.searchsorted(held, min(held[-1], max(least, share * held[-1])))]]
 
+def _packed(x: np.ndarray) -> pa.Array:
+    ends = (np.arange(len(x) + 1) * x.shape[1] * x.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(x))])
 
-def _matrix(vectors) -> np.ndarray:
-    return np.array([np.asarray(v, np.float64) for v in vectors])
 
-
-def _unit(x: np.ndarray) -> np.ndarray:
-    return x / np.linalg.norm(x, axis=1, keepdims=True)
+def _unpacked(column: pa.Array, kind: str) -> np.ndarray:
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2], np.uint8)[ends[0] : ends[-1]].view(kind).reshape(len(column), -1)
 
 
 def valid(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     """(id, v) of the vectors that take part, all of one length (the commonest, the smaller on a tie)."""
     v = F.col("v")
-    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v")).filter("id is not null and v is not null and size(v) > 0")
+    kind = "float" if isinstance(getattr(df.schema[vec_col].dataType, "elementType", None), FloatType) else "double"
+    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast(f"array<{kind}>").alias("v")).filter("id is not null and v is not null and size(v) > 0")
     bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    rows = rows.filter(~F.coalesce(bad, F.lit(True)) & F.exists(v, lambda x: x != 0)).groupBy("id").agg(F.min("v").alias("v"))
-    top = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").head()
-    return rows.filter(F.size("v") == (top.n if top else 0))
+    rows = rows.filter(~F.coalesce(bad, F.lit(True)) & F.exists(v, lambda x: x != 0))
+    lengths = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").limit(2).collect()
+    rows = rows.groupBy("id").agg(F.min("v").alias("v"))
+    if len(lengths) < 2:
+        return rows
+    return rows.filter(F.size("v") == rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").head().n)
 
 
-def nearest(
-    df: DataFrame, query: F.Column | str, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", tables: int = 2, m: int | None = None, width: float = 1.2,
-    recall: float = 0.97, sample: int = 4096, block: int = 4096,
-) -> DataFrame:
+def nearest(df: DataFrame, query: F.Column | str, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", sample: int = 4096) -> DataFrame:
     """(query_id, rank, vec_id, score): k nearest by cosine of each row that meets ``query`` (a condition on id), itself left out."""
     spark = df.sparkSession
-    schema = "query_id long, rank int, vec_id long, score double"
     rows = valid(df, id_col, vec_col)
     # Copies: the entry is the least id, and at most k + 1 ids can ever be among a query's k nearest.
-    hashed = rows.withColumn("h", F.sha2(F.to_json("v"), 256))
-    place = Window.partitionBy("h").orderBy("id")
-    least = cut(hashed.withColumn("n", F.row_number().over(place)).filter(F.col("n") <= k + 1))
-    entries = cut(least.filter("n = 1").select("id", "h", "v"))
+    hashed = rows.withColumns({"h1": F.xxhash64("v"), "h2": F.xxhash64(F.lit(1), "v")})
+    copies = Window.partitionBy("h1", "h2")
+    least = hashed.withColumn("n", F.row_number().over(copies.orderBy("id"))).filter(F.col("n") <= k + 1).withColumn("entry", F.min("id").over(copies))
+    least = cut(least.select("entry", "id", F.when(F.col("n") == 1, F.col("v")).alias("v")))
+    entries = least.filter("id = entry").select("id", "v")
     n = entries.count()
     if not n:
-        return spark.createDataFrame([], schema)
-    picked = entries.orderBy(F.xxhash64("id"), "id").limit(sample).select("id", "v").collect()
-    x = _unit(_matrix([r.v for r in picked]))
-    m = m or int(np.clip(np.log(max(2, n / 256)) / np.log(4), 1, 6))
-    hashing = Hashing(x.shape[1], tables, m, width)
-    share = _fitted_share(hashing, x, k, recall)
-
-    def index(batches):
-        for batch in batches:
-            unit = _unit(_matrix(batch["v"]))
-            for t in range(tables):
-                yield pd.DataFrame({"id": batch["id"], "t": np.int32(t), "key": hashing.keys(unit, t), "v": batch["v"]})
-
-    index_rows = entries.select("id", "v").mapInPandas(whole(index), "id long, t int, key long, v array<double>")
-    directory = index_rows.groupBy("t", "key").count().collect()  # at most tables * 5**6 rows
-    sizes = {t: ([], []) for t in range(tables)}
-    for r in sorted(directory, key=lambda r: (r.t, r.key)):
-        sizes[r.t][0].append(r.key), sizes[r.t][1].append(r["count"])
-    sizes = {t: (np.array(a), np.array(b)) for t, (a, b) in sizes.items()}
-    blocks = {(r.t, r.key): -(-r["count"] // block) for r in directory}
-
-    asked = rows.filter(query).select("id")
-    q = hashed.join(asked, "id", "left_semi").select(F.col("id").alias("query_id"), "h")
-    query_entries = cut(entries.join(q.select("h").distinct(), "h", "left_semi").select("id", "v"))
-    strips = max(1, -(-query_entries.count() // block))
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    # The first by hash; those under twice the wanted share hold them, so that the driver gets no more from any number of tasks.
+    low = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(min(1.0, 2 * (sample + 50) / n) * (1 << 30))
+    picked = entries.filter(low).orderBy(F.xxhash64("id"), "id").limit(sample).select("v").collect()
+    kind = "f4" if isinstance(rows.schema["v"].dataType.elementType, FloatType) else "f8"
+    known = _unit(np.array([r.v for r in picked], kind))
+    dim = known.shape[1]
+    centres = _centres(known, int(np.clip(n // TILE, 1, CELLS)))
 
     def dealt(batches):
+        """Of each slice ids, vectors, unit vectors and their cosines to the centres: the same whenever the same partition is read."""
+        for batch in sliced(batches):
+            if batch.num_rows:
+                unit = _unit(x := _lists(batch.column(1)))
+                yield batch.column(0), x, unit, unit @ centres.T
+
+    def measure(batches):
+        for _, _, _, near in dealt(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(near.argmax(1), pa.int32()), pa.array(near.max(1))], names=["cell", "narrow"])
+
+    directory = entries.mapInArrow(measure, "cell int, narrow double").groupBy("cell").agg(F.count("*").alias("n"), F.min("narrow").alias("narrow")).collect()  # a row a cell
+    most = max(1, min(GROUP // (dim * np.dtype(kind).itemsize), max(2 * TILE, -(-n // 16))))
+    first, parts, groups = _grouped({r.cell: r.n for r in directory}, most)
+    radius = np.zeros(len(centres))
+    reach = np.zeros((len(centres), groups), bool)
+    for r in directory:
+        radius[r.cell] = np.arccos(np.clip(r.narrow, -1, 1))
+        reach[r.cell, first[r.cell] : first[r.cell] + parts[r.cell]] = True
+
+    def part(g, side, ids, cells, floors, x):
+        columns = [pa.array(g, pa.int32()), pa.array(np.full(len(x), side), pa.int32()), ids, pa.array(cells, pa.int32()), pa.array(floors, pa.float64()), _packed(x)]
+        return pa.RecordBatch.from_arrays(columns, names=["g", "side", "id", "cell", "floor", "v"])
+
+    def held(batches):
+        for ids, x, _, near in dealt(batches):
+            cells = near.argmax(1)
+            spread = (ids.to_numpy().astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64)
+            yield part(first[cells] + spread % parts[cells], 0, ids, cells, np.zeros(len(x)), x)
+
+    def asking(batches):
+        for ids, x, unit, near in dealt(batches):
+            floors = np.full(len(x), -2.0)
+            if len(known) > k:
+                floors = -np.partition(-(unit @ known.T), k, axis=1)[:, k] - 1e-9
+            needs = (_bounds(near, radius) >= floors[:, None] - SLACK) @ reach
+            for g in range(groups):
+                at = np.flatnonzero(needs[:, g])
+                if len(at):
+                    yield part(np.full(len(at), g), 1, ids.take(pa.array(at)), np.zeros(len(at)), floors[at], x[at])
+
+    def scan(batches):
+        group, chunks, tiles = -1, [], None
         for batch in batches:
-            spread = np.array([blocks[t, key] for t, key in zip(batch["t"], batch["key"], strict=True)], np.int64)
-            batch = batch.assign(b=(batch["id"].to_numpy() * 0x9E3779B1 % (1 << 31)) % spread)
-            for s in range(strips):
-                yield batch.assign(s=np.int32(s))[["id", "t", "key", "b", "s", "v"]]
-
-    def probes(batches):
-        for batch in batches:
-            vectors = _matrix(batch["v"])
-            unit = _unit(vectors)
-            for t in range(tables):
-                out = []
-                for doc, v, seen in zip(batch["id"], batch["v"], hashing.visits(unit, t, *sizes[t], share, k + 1), strict=True):
-                    out += [(doc, t, key, b, doc * 0x85EBCA6B % (1 << 31) % strips, v) for key in seen.tolist() for b in range(blocks[t, key])]
-                yield pd.DataFrame(out, columns=["qid", "t", "key", "b", "s", "v"])
-
-    left = index_rows.mapInPandas(whole(dealt), "id long, t int, key long, b long, s int, v array<double>")
-    right = query_entries.mapInPandas(whole(probes), "qid long, t int, key long, b long, s int, v array<double>")
-
-    def compare(l: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
-        if not len(l) or not len(r):
-            return pd.DataFrame({"qid": [], "id": [], "score": []})
-        a, c = _matrix(l["v"]), _matrix(r["v"])
-        score = (c @ a.T) / np.linalg.norm(c, axis=1)[:, None] / np.linalg.norm(a, axis=1)[None, :]
-        ids = l["id"].to_numpy()
-        keep = min(k + 1, len(ids))
-        # All as good as the last kept, so that ties can go to the smaller id.
-        floor = -np.partition(-score, keep - 1, axis=1)[:, keep - 1]
-        i, j = np.nonzero(score >= floor[:, None])
-        best = pd.DataFrame({"qid": r["qid"].to_numpy()[i], "id": ids[j], "score": score[i, j]})
-        best = best.sort_values(["qid", "score", "id"], ascending=[True, False, True], kind="stable")
-        return best.groupby("qid", sort=False).head(k + 1)
-
-    keys = ["t", "key", "b", "s"]
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(compare, "qid long, id long, score double")
-    # Both tables may find a row; they compute its score alike but for the last bit.
-    found = found.groupBy("qid", "id").agg(F.max("score").alias("score"))
+            g, side = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            ends = [*(np.flatnonzero((np.diff(g) != 0) | (np.diff(side) != 0)) + 1).tolist(), batch.num_rows]
+            at = 0
+            for end in ends if batch.num_rows else []:
+                if g[at] != group:
+                    group, chunks, tiles = g[at], [], None
+                one = batch.slice(at, end - at)
+                ids, x = one.column(2).to_numpy(), _unpacked(one.column(5), kind)
+                if side[at] == 0:
+                    chunks.append((ids.copy(), one.column(3).to_numpy().copy(), x.copy()))
+                else:
+                    if tiles is None:
+                        tiles, chunks = Tiles(*(np.concatenate(c) for c in zip(*chunks, strict=True))), []
+                    floors = one.column(4).to_numpy()
+                    for s in range(0, len(ids), ASKED):
+                        i, found, score = tiles.best(x[s : s + ASKED], floors[s : s + ASKED], k + 1)
+                        yield pa.RecordBatch.from_arrays([pa.array(ids[s : s + ASKED][i]), pa.array(found), pa.array(score)], names=["qid", "id", "score"])
+                at = end
+
+    asked = cut(hashed.filter(query))
+    once = asked.groupBy("h1", "h2").agg(F.min("id").alias("qid"), F.min("v").alias("v"))
+    queries = asked.select(F.col("id").alias("query_id"), "h1", "h2").join(once.select("h1", "h2", "qid"), ["h1", "h2"]).select("query_id", "qid")
+    both = entries.mapInArrow(held, PARTS).unionByName(once.select("qid", "v").mapInArrow(asking, PARTS))
+    found = both.repartitionById(groups, F.col("g")).sortWithinPartitions("g", "side").mapInArrow(scan, "qid long, id long, score double")
     by_query = Window.partitionBy("qid").orderBy(F.desc("score"), "id")
-    best = found.withColumn("n", F.row_number().over(by_query)).filter(F.col("n") <= k + 1).select("qid", "id", "score")
-    heads = least.filter("n = 1").select("h", F.col("id").alias("entry"))
-    named = least.join(heads, "h").select("entry", F.col("id").alias("vec_id"))
-    queries = q.join(heads, "h").select("query_id", F.col("entry").alias("qid"))
-    pairs = queries.join(best, "qid").join(named.withColumnRenamed("entry", "id"), "id").filter("vec_id != query_id")
+    best = found.withColumn("n", F.row_number().over(by_query)).filter(F.col("n") <= k + 1).select("qid", F.col("id").alias("entry"), "score")
+    pairs = queries.join(best, "qid").join(least.select("entry", F.col("id").alias("vec_id")), "entry").filter("vec_id != query_id")
     by_id = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return pairs.withColumn("rank", F.row_number().over(by_id)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "vec_id", F.col("score"))
 
 
-def _fitted_share(hashing: Hashing, x: np.ndarray, k: int, recall: float) -> float:
-    """The least share of rows at which every vector of the sample finds its own nearest rows with the wanted recall."""
-    if len(x) <= k + 1:
-        return 1.0
-    need = np.concatenate([_needs(hashing, x, np.arange(i, min(i + 512, len(x))), k) for i in range(0, len(x), 512)])
-    # The share at which a vector has met the wanted recall; the vector that needs most decides, for no group of vectors may fare worse.
-    own = np.sort(need, axis=1)[:, int(np.ceil(recall * need.shape[1])) - 1]
-    return float(min(1.0, own.max() + 1e-9))
-
-
-def _needs(hashing: Hashing, x: np.ndarray, asked: np.ndarray, k: int) -> np.ndarray:
-    """The share of rows that each of the k nearest of each asked vector needs to be met."""
-    near = x[asked] @ x.T
-    near[np.arange(len(asked)), asked] = -2
-    best = np.argsort(-near, axis=1, kind="stable")[:, :k]
-    need = np.full(best.shape, 2.0)
-    for t in range(len(hashing.directions)):
-        keys = hashing.keys(x, t)
-        used, place, sizes = np.unique(keys, return_inverse=True, return_counts=True)
-        for row, (p, found) in enumerate(zip(hashing.project(x[asked], t), best, strict=True)):
-            gap = np.maximum(0, np.maximum(hashing.low[used] - p, p - hashing.high[used]))
-            order = np.argsort((gap**2).sum(1), kind="stable")
-            before = np.empty(len(used))
-            before[order] = (np.cumsum(sizes[order]) - sizes[order]) / len(x)
-            need[row] = np.minimum(need[row], before[place[found]])
-    return need
+def _centres(known: np.ndarray, cells: int, rounds: int = 5) -> np.ndarray:
+    """Unit vectors that a few rounds of spherical k-means find; cells that lose all their rows keep their centre."""
+    centres = known[:cells].copy()
+    for _ in range(rounds):
+        total = np.zeros_like(centres)
+        np.add.at(total, (known @ centres.T).argmax(1), known)
+        norm = np.linalg.norm(total, axis=1, keepdims=True)
+        centres = np.where(norm > 1e-9, total / np.maximum(norm, 1e-9), centres)
+    return centres
+
+
+def _grouped(sizes: dict[int, int], most: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """(first group of each cell, groups it is cut into, groups): ``most`` rows a group, but for what a hash deals unevenly."""
+    first, parts = np.zeros(max(sizes) + 1, np.int64), np.ones(max(sizes) + 1, np.int64)
+    g = held = 0
+    for cell, n in sorted(sizes.items()):
+        if held and held + n > most:
+            g, held = g + 1, 0
+        first[cell], parts[cell] = g, -(-n // most)
+        if parts[cell] > 1:
+            g += int(parts[cell])
+        else:
+            held += n
+    return first, parts, g + (held > 0)
+
+
+def _bounds(cosines: np.ndarray, radius: np.ndarray) -> np.ndarray:
+    """The largest cosine that vectors within ``radius`` of a centre can have with a query of that cosine to it."""
+    return np.cos(np.maximum(0, np.arccos(np.clip(cosines, -1, 1)) - radius))
+
+
+class Tiles:
+    """The rows of a group by cell, in tiles of at most TILE rows of one cell."""
+
+    def __init__(self, ids: np.ndarray, cells: np.ndarray, x: np.ndarray):
+        order = np.argsort(cells, kind="stable")
+        self.ids, self.x, cells = ids[order], x[order], cells[order]
+        starts = [0, *(np.flatnonzero(np.diff(cells)) + 1).tolist(), len(cells)]
+        self.spans = [(s, min(s + TILE, end)) for begin, end in zip(starts, starts[1:], strict=False) for s in range(begin, end, TILE)]
+        centres, narrow = [], []
+        for s, e in self.spans:
+            unit = _unit(self.x[s:e])
+            centre = unit.sum(0)
+            # The rows of a tile may cancel out; any direction will do then.
+            centre = centre / norm if (norm := np.linalg.norm(centre)) > 1e-9 else unit[0]
+            centres.append(centre)
+            narrow.append((unit @ centre).min())
+        self.centres, self.radius = np.array(centres), np.arccos(np.clip(narrow, -1, 1))
+
+    def best(self, asked: np.ndarray, floors: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(position in asked, id, score) of the ``most`` rows of largest cosine of each query, those at its floor or above; ties to the smaller id."""
+        exact, dim = _double(asked), asked.shape[1]
+        norm = np.linalg.norm(exact, axis=1)
+        unit = exact / norm[:, None]
+        single, floor = unit.astype(np.float32), floors.copy()
+        bounds = _bounds(unit @ self.centres.T, self.radius)
+        near = np.float32((dim + 4) * 2.0**-23)
+        kept = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+        pending, waiting = [], 0
+
+        def merged():
+            i, ids, score = (np.concatenate(c) for c in zip(kept, *pending, strict=True))
+            order = np.lexsort((ids, -score, i))
+            i, ids, score = i[order], ids[order], score[order]
+            place = np.arange(len(i)) - np.searchsorted(i, i)
+            full = place == most - 1
+            floor[i[full]] = np.maximum(floor[i[full]], score[full])
+            return tuple(c[place < most] for c in (i, ids, score))
+
+        for t, (s, e) in enumerate(self.spans):
+            at = np.flatnonzero(bounds[:, t] >= floor - SLACK)
+            if not len(at):
+                continue
+            rows = _double(self.x[s:e])
+            size = np.linalg.norm(rows, axis=1)
+            rows_unit = rows / size[:, None]
+            score = single[at] @ rows_unit.astype(np.float32).T
+            least = floor[at].astype(np.float32) - near
+            hit = np.flatnonzero(score.max(1) >= least)
+            i, j = np.nonzero(score[hit] >= least[hit, None])
+            if len(i) > score.size // 16:  # many rows as near as single precision can tell
+                score = unit[at[hit]] @ rows_unit.T
+                i, j = np.nonzero(score >= floor[at[hit], None] - 1e-12)
+            i = at[hit][i]
+            for c in range(0, len(i), step := max(1, (1 << 22) // dim)):
+                # Summed in one order wherever a pair meets, so that equal cosines stay equal.
+                a, b = i[c : c + step], j[c : c + step]
+                pending.append((a, self.ids[s + b], (exact[a] * rows[b]).sum(1) / (norm[a] * size[b])))
+                waiting += len(a)
+                if waiting > 8 * len(asked):
+                    kept, pending, waiting = merged(), [], 0
+        return merged()

@@ -1,14 +1,17 @@
 """The training-data operators against brute force, the libraries, exact round trips and held-out labels."""
 
+import contextlib
 import hashlib
 import json
 import pickle
 import random
 import re
+import threading
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import psutil
 import pytest
 from pyspark.sql import functions as F
 
@@ -392,6 +395,65 @@ def test_nearest_of_isolated_vectors(spark):
     assert sum(hits) >= 0.95 * 5 * len(hits) and min(hits) >= 3
 
 
+def nearest_by_force(x, q, k=5):
+    m = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = m @ m[q]
+    s[q] = -9
+    return np.lexsort((np.arange(len(x)), -np.round(s, 12)))[:k].tolist()
+
+
+def test_nearest_holds_little_at_a_time(spark):
+    # A worker once held all buckets that a batch of queries visits, each with the query's vector.
+    x = np.random.default_rng(8).normal(size=(20000, 64)).astype(np.float32)
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<float>").coalesce(1)
+    before, most, done = {}, {}, threading.Event()
+
+    def look(held):
+        for p in psutil.Process().children(recursive=True):
+            with contextlib.suppress(psutil.Error):
+                if "pyspark.daemon" in " ".join(p.cmdline()):
+                    held[p.pid] = max(held.get(p.pid, 0), p.memory_info().rss)
+
+    def watch():
+        while not done.wait(0.05):
+            look(most)
+
+    look(before)  # workers that other tests have left
+
+    watcher = threading.Thread(target=watch)
+    watcher.start()
+    try:
+        got = defaultdict(list)
+        for r in ann.nearest(df, F.col("id") % 2 == 0).orderBy("query_id", "rank").collect():
+            got[r.query_id].append(r.vec_id)
+    finally:
+        done.set()
+        watcher.join()
+    assert len(got) == 10000 and all(got[q] == nearest_by_force(x.astype(float), q) for q in range(0, 20000, 400))
+    grown = max(n - before.get(pid, 0) for pid, n in most.items())
+    assert grown < 500e6, grown
+
+
+def test_nearest_is_exact_in_many_groups(spark, monkeypatch):
+    # Small groups, so that a cell is cut and tight cells are left out; near copies, multiples (ties), isolated and extreme vectors.
+    monkeypatch.setattr(ann, "GROUP", 16 * 8 * 150)
+    monkeypatch.setattr(ann, "TILE", 100)
+    rng = np.random.default_rng(9)
+    centres = rng.normal(size=(12, 16))
+    tight = centres[rng.integers(0, 12, 900)] + 0.01 * rng.normal(size=(900, 16))
+    x = np.vstack([tight, centres[0] + 1e-3 * rng.normal(size=(700, 16)), np.outer(2.0 ** rng.integers(-3, 4, 40), centres[1]), rng.normal(size=(100, 16))])
+    scale = np.ones(len(x))
+    scale[-100:-50], scale[-50:] = 2.0**600, 2.0**-600
+    df = spark.createDataFrame([(i, (v * c).tolist()) for i, (v, c) in enumerate(zip(x, scale, strict=True))], "vec_id long, embedding array<double>")
+    got = defaultdict(list)
+    for r in ann.nearest(df, F.col("id") % 7 == 0, sample=200).orderBy("query_id", "rank").collect():
+        got[r.query_id].append(r.vec_id)
+    assert sorted(got) == list(range(0, len(x), 7))
+    assert [q for q in got if got[q] != nearest_by_force(x, q)] == []
+    first, parts, groups = ann._grouped({0: 10, 1: 260, 2: 90, 4: 20, 5: 5}, 100)
+    assert (first.tolist(), parts.tolist(), groups) == ([0, 1, 4, 0, 5, 5], [1, 3, 1, 1, 1, 1], 6)
+
+
 MIT, GPL = (dict(licenses.TEMPLATES)[x] for x in ("mit", "gpl"))
 LICENSED = [
     "Released under the MIT License. and again UNDER the -- mit LICENSE", "apache license, version 2 cc by-nc 4.0", "x" + " y" * 300 + " licensed under the apache licence version 2 0 " + "z " * 70, "under the mit licenses",

@@ -29,7 +29,7 @@ from pyspark.sql.types import FloatType
 from .common import cut, sliced
 
 #: Centres at most; bytes of the vectors of a group; rows and queries of a tile.
-CELLS, GROUP, TILE, ASKED = 256, 1 << 26, 2048, 1024
+CELLS, GROUP, TILE, ASKED = 256, 1 << 26, 1024, 512
 #: By how much a bound must miss a floor; well over the rounding of angles in double precision.
 SLACK = 1e-6
 PARTS = "g int, side int, id long, cell int, floor double, v binary"
@@ -93,7 +93,7 @@ def nearest(df: DataFrame, query: F.Column | str, k: int = 5, id_col: str = "vec
     kind = "f4" if isinstance(rows.schema["v"].dataType.elementType, FloatType) else "f8"
     known = _unit(np.array([r.v for r in picked], kind))
     dim = known.shape[1]
-    centres = _centres(known, int(np.clip(n // TILE, 1, CELLS)))
+    centres = _centres(known, int(np.clip(n // (2 * TILE), 1, CELLS)))
 
     def dealt(batches):
         """Of each slice ids, vectors, unit vectors and their cosines to the centres: the same whenever the same partition is read."""
@@ -107,7 +107,7 @@ def nearest(df: DataFrame, query: F.Column | str, k: int = 5, id_col: str = "vec
             yield pa.RecordBatch.from_arrays([pa.array(near.argmax(1), pa.int32()), pa.array(near.max(1))], names=["cell", "narrow"])
 
     directory = entries.mapInArrow(measure, "cell int, narrow double").groupBy("cell").agg(F.count("*").alias("n"), F.min("narrow").alias("narrow")).collect()  # a row a cell
-    most = max(1, min(GROUP // (dim * np.dtype(kind).itemsize), max(2 * TILE, -(-n // 16))))
+    most = max(1, min(GROUP // (dim * np.dtype(kind).itemsize), max(4 * TILE, -(-n // 16))))
     first, parts, groups = _grouped({r.cell: r.n for r in directory}, most)
     radius = np.zeros(len(centres))
     reach = np.zeros((len(centres), groups), bool)
@@ -209,9 +209,13 @@ class Tiles:
         self.ids, self.x, cells = ids[order], x[order], cells[order]
         starts = [0, *(np.flatnonzero(np.diff(cells)) + 1).tolist(), len(cells)]
         self.spans = [(s, min(s + TILE, end)) for begin, end in zip(starts, starts[1:], strict=False) for s in range(begin, end, TILE)]
+        self.size, self.single = np.empty(len(x)), np.empty(x.shape, np.float32)
+        self.score = np.empty(ASKED * TILE, np.float32)
         centres, narrow = [], []
         for s, e in self.spans:
-            unit = _unit(self.x[s:e])
+            rows = _double(self.x[s:e])
+            self.size[s:e] = np.linalg.norm(rows, axis=1)
+            self.single[s:e] = unit = rows / self.size[s:e, None]
             centre = unit.sum(0)
             # The rows of a tile may cancel out; any direction will do then.
             centre = centre / norm if (norm := np.linalg.norm(centre)) > 1e-9 else unit[0]
@@ -243,21 +247,18 @@ class Tiles:
             at = np.flatnonzero(bounds[:, t] >= floor - SLACK)
             if not len(at):
                 continue
-            rows = _double(self.x[s:e])
-            size = np.linalg.norm(rows, axis=1)
-            rows_unit = rows / size[:, None]
-            score = single[at] @ rows_unit.astype(np.float32).T
+            score = self.score[: len(at) * (e - s)].reshape(len(at), e - s)
+            np.matmul(single[at], self.single[s:e].T, out=score)
             least = floor[at].astype(np.float32) - near
             hit = np.flatnonzero(score.max(1) >= least)
             i, j = np.nonzero(score[hit] >= least[hit, None])
             if len(i) > score.size // 16:  # many rows as near as single precision can tell
-                score = unit[at[hit]] @ rows_unit.T
-                i, j = np.nonzero(score >= floor[at[hit], None] - 1e-12)
+                i, j = np.nonzero(unit[at[hit]] @ _unit(self.x[s:e]).T >= floor[at[hit], None] - 1e-12)
             i = at[hit][i]
             for c in range(0, len(i), step := max(1, (1 << 22) // dim)):
                 # Summed in one order wherever a pair meets, so that equal cosines stay equal.
-                a, b = i[c : c + step], j[c : c + step]
-                pending.append((a, self.ids[s + b], (exact[a] * rows[b]).sum(1) / (norm[a] * size[b])))
+                a, b = i[c : c + step], s + j[c : c + step]
+                pending.append((a, self.ids[b], (exact[a] * _double(self.x[b])).sum(1) / (norm[a] * self.size[b])))
                 waiting += len(a)
                 if waiting > 8 * len(asked):
                     kept, pending, waiting = merged(), [], 0

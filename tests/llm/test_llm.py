@@ -437,7 +437,7 @@ def test_nearest_holds_little_at_a_time(spark):
 def test_nearest_is_exact_in_many_groups(spark, monkeypatch):
     # Small groups, so that a cell is cut and tight cells are left out; near copies, multiples (ties), isolated and extreme vectors.
     monkeypatch.setattr(ann, "GROUP", 16 * 8 * 150)
-    monkeypatch.setattr(ann, "TILE", 100)
+    monkeypatch.setattr(ann, "TILE", 50)
     rng = np.random.default_rng(9)
     centres = rng.normal(size=(12, 16))
     tight = centres[rng.integers(0, 12, 900)] + 0.01 * rng.normal(size=(900, 16))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .functions import information as info
 from .functions import text as tx
+from .operators import corpus
 from .registered import expected, query
 
 _W = "list_filter(regexp_split_to_array(lower(text), '[^0-9\\p{L}_]+'), lambda x: x <> '')"
@@ -80,10 +81,7 @@ _STOP = ["the", "and", "for", "that", "with", "this", "from", "are", "was", "der
 def doc_keywords(t) -> DataFrame:
     """The ten commonest words and pairs of words of each text, stop-words left out."""
     w = F.filter(tx.words(F.col("text")), lambda x: (F.length(x) > 2) & ~x.isin(_STOP))
-    pairs = F.when(F.size("w") > 1, F.transform(F.sequence(F.lit(0), F.size("w") - 2), lambda i: F.concat_ws(" ", F.get("w", i), F.get("w", i + 1)))).otherwise(F.array().cast("array<string>"))
-    grams = t("documents").select("doc_id", w.alias("w")).select("doc_id", F.explode(F.concat("w", pairs)).alias("gram")).groupBy("doc_id", "gram").agg(F.count("*").alias("n"))
-    by = Window.partitionBy("doc_id").orderBy(F.desc("n"), "gram")
-    return grams.withColumn("rank", F.row_number().over(by).cast("long")).filter("rank <= 10")
+    return corpus.top_grams(t("documents"), "doc_id", w)
 
 
 def _tokens(more: str) -> str:

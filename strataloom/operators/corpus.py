@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import heapq
+from collections import Counter
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
@@ -66,3 +70,43 @@ def greedy_pack(df: DataFrame, key: str, text: str, budget: int = 450) -> DataFr
 def top_k(df: DataFrame, by: list, order: list, k: int) -> DataFrame:
     """First k rows of each group; the rank limit is applied before the shuffle."""
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col("rank") <= k)
+
+
+def _commonest(k: int):
+    def of(batches):
+        """(key, gram, n, rank) of texts whose words are joined by spaces."""
+        for batch in batches:
+            for start in range(0, batch.num_rows, 256):
+                part = batch.slice(start, 256)
+                at, grams, counts, ranks = [], [], [], []
+                for row, text in enumerate(part.column(1).to_pylist()):
+                    w = text.split(" ")
+                    c = Counter(w)
+                    c.update(map(" ".join, zip(w, w[1:])))  # noqa: B905
+                    least = heapq.nlargest(k, c.values())[-1]
+                    best = heapq.nsmallest(k, ((-n, gram) for gram, n in c.items() if n >= least))
+                    at += [row] * len(best)
+                    grams += [gram for _, gram in best]
+                    counts += [-n for n, _ in best]
+                    ranks += range(1, len(best) + 1)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(at, pa.int64())), pa.array(grams, pa.string()), pa.array(counts, pa.int64()), pa.array(ranks, pa.int64())], names=["key", "gram", "n", "rank"])
+
+    return of
+
+
+def top_grams(df: DataFrame, key: str, words: Column, k: int = 10) -> DataFrame:
+    """(key, gram, n, rank): the k commonest words and pairs of words of each key, ties to the smaller gram.
+
+    A text is counted in its row. Only texts whose key others have too are exploded and shuffled.
+    """
+    d, kind = df.select(key, words.alias("w")), df.schema[key].dataType.simpleString()
+    repeated = df.groupBy(F.col(key).alias("again")).agg(F.count("*").alias("texts")).filter("texts > 1").select("again")
+    again = repeated.count() > 0
+    same = F.col(key).eqNullSafe(F.col("again"))
+    once = (d.join(repeated, same, "left_anti") if again else d).filter("size(w) > 0").select(key, F.array_join("w", " ").alias("w"))
+    found = once.mapInArrow(_commonest(k), f"key {kind}, gram string, n long, rank long").withColumnRenamed("key", key)
+    if not again:
+        return found
+    pairs = F.when(F.size("w") > 1, F.transform(F.sequence(F.lit(0), F.size("w") - 2), lambda i: F.concat_ws(" ", F.get("w", i), F.get("w", i + 1)))).otherwise(F.array().cast("array<string>"))
+    grams = d.join(repeated, same, "left_semi").select(key, F.explode(F.concat("w", pairs)).alias("gram")).groupBy(key, "gram").agg(F.count("*").alias("n"))
+    return found.unionByName(top_k(grams, [key], [F.desc("n"), "gram"], k).withColumn("rank", F.col("rank").cast("long")))

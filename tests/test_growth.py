@@ -1,11 +1,12 @@
 """What grows with the input: rows that are shuffled, against results worked out row by row."""
 
-from collections import Counter
 import math
+from collections import Counter
 
+import duckdb
 import pytest
-from pyspark.sql import functions as F
 
+from strataloom import catalog
 from strataloom.operators import similarity
 
 
@@ -49,3 +50,20 @@ def test_tfidf_of_next_shuffles_texts_not_words(spark):
     want = _cosines(texts)
     assert len(rows) == len(want) and {r.doc_id: pytest.approx(r.cosine, abs=1e-12) for r in rows} == want
     assert shuffled < 10 * len(texts)  # a text has 40 to 50 distinct words
+
+
+def _keywords(spark, duck, tmp_path, rows, parts):
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(parts).write.parquet(f"{tmp_path}/documents.parquet")
+    duck.execute(f"CREATE OR REPLACE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    got, shuffled = shuffled_rows(catalog.queries()["doc_keywords"](spark, str(tmp_path)).select("doc_id", "gram", "n", "rank"))
+    want = duck.execute(f"SELECT doc_id, gram, n, rank FROM ({catalog.oracle_sql()['doc_keywords']})").fetchall()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
+    return shuffled
+
+
+def test_keywords_are_counted_in_the_row(spark, tmp_path):
+    duck = duckdb.connect()
+    rows = [(k, " ".join(f"word{(k + j * j) % 23}" for j in range(k))) for k in range(50)] + [(60, None), (61, ""), (62, "the of"), (63, "Ünder ünder \U00010400bc ﬁve zoo"), (None, "lone lone text")]
+    assert _keywords(spark, duck, tmp_path / "once", rows, 2) == 0
+    again = [(7, "word1 word2 more"), (62, "more words"), (None, "text lone lone")]
+    assert _keywords(spark, duck, tmp_path / "again", rows + again, 2) < 1000

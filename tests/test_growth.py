@@ -4,10 +4,11 @@ import math
 from collections import Counter
 
 import duckdb
+import numpy as np
 import pytest
 
 from strataloom import catalog
-from strataloom.operators import similarity
+from strataloom.operators import similarity, vectors
 
 
 def shuffled_rows(df):
@@ -67,3 +68,36 @@ def test_keywords_are_counted_in_the_row(spark, tmp_path):
     assert _keywords(spark, duck, tmp_path / "once", rows, 2) == 0
     again = [(7, "word1 word2 more"), (62, "more words"), (None, "text lone lone")]
     assert _keywords(spark, duck, tmp_path / "again", rows + again, 2) < 1000
+
+
+def _nearest(ids, x, asked, k, least):
+    norm = np.linalg.norm(x, axis=1)
+    unit = x / np.where(norm > 0, norm, 1)[:, None]
+    out = {}
+    for q in asked:
+        s = np.round((unit * unit[q]).sum(1), 12)
+        at = [j for j in np.lexsort((ids, -s)) if ids[j] != ids[q] and s[j] >= least]
+        out[int(ids[q])] = [(int(ids[j]), float(s[j])) for j in at[:k]]
+    return out
+
+
+@pytest.mark.parametrize("group", [1 << 25, 1 << 16])
+def test_top_k_shuffles_rows_once_a_strip(spark, monkeypatch, group):
+    """Copies of one vector, the zero vector and null; in one group and in several."""
+    monkeypatch.setattr(vectors, "GROUP", group)
+    n = 16500 if group > 1 << 20 else 1500
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((n, 16)).astype(np.float32).astype(np.float64)
+    x[100:400] = x[50]
+    x[7] = 0
+    ids = rng.permutation(n) - 20
+    df = spark.createDataFrame([(int(i), v) for i, v in zip(ids, x.tolist(), strict=True)] + [(n + 5, None), (n + 6, [float("nan")] * 16)], "vec_id long, v array<float>").repartition(4).cache()
+    rows, shuffled = shuffled_rows(vectors.top_k(df, df, "vec_id", "v", 6, least=0.3))
+    found = {}
+    for r in sorted(rows, key=lambda r: (r.query_id, r["rank"])):
+        found.setdefault(r.query_id, []).append((r.vec_id, round(r.score, 12)))
+    for q, want in _nearest(ids, x, [7, 50, 100, 399, *range(500, 700)], 6, 0.3).items():
+        assert [i for i, _ in found.get(q, [])] == [i for i, _ in want]
+        assert [s for _, s in found.get(q, [])] == pytest.approx([s for _, s in want], abs=1e-9)
+    if group > 1 << 20:
+        assert shuffled < 30 * n  # in blocks of 2,048 it was 72 n

@@ -171,11 +171,11 @@ def lang_divergence(t) -> DataFrame:
 
 @query("WITH a AS (SELECT doc_id, text FROM documents), j AS (SELECT x.doc_id, x.text AS s, y.text AS u FROM a x JOIN a y ON y.doc_id = x.doc_id + 1) SELECT doc_id, round(joint, 6) AS joint, round(hs + hu - joint, 6) AS mutual FROM (SELECT doc_id, list_aggregate(string_split(s || u, ''), 'entropy') AS joint, list_aggregate(string_split(s, ''), 'entropy') AS hs, list_aggregate(string_split(u, ''), 'entropy') AS hu FROM j)")
 def neighbour_information(t) -> DataFrame:
-    """Entropy of a text and the next one joined, and what the two have in common by it."""
-    d = t("documents").select("doc_id", "text")
-    j = d.join(d.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("u")), "doc_id")
-    joint = info.entropy(F.concat("text", "u"))
-    return j.select("doc_id", r6(joint).alias("joint"), r6(info.entropy(F.col("text")) + info.entropy(F.col("u")) - joint).alias("mutual"))
+    """Entropy of a text and the next one joined, and what the two have in common by it; a text's characters are counted before it is shuffled."""
+    d = t("documents").select("doc_id", info.profile(F.col("text")).alias("p"))
+    j = d.join(d.select((F.col("doc_id") - 1).alias("doc_id"), F.col("p").alias("q")), "doc_id")
+    j = j.select("doc_id", (F.col("p.bits") + F.col("q.bits")).alias("apart"), info.joint_entropy(F.col("p"), F.col("q")).alias("joint"))
+    return j.select("doc_id", r6("joint").alias("joint"), r6(F.col("apart") - F.col("joint")).alias("mutual"))
 
 
 _L = "SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)"

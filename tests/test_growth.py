@@ -101,3 +101,20 @@ def test_top_k_shuffles_rows_once_a_strip(spark, monkeypatch, group):
         assert [s for _, s in found.get(q, [])] == pytest.approx([s for _, s in want], abs=1e-9)
     if group > 1 << 20:
         assert shuffled < 30 * n  # in blocks of 2,048 it was 72 n
+
+
+ODD = ["", "a", "aaaa", "abab\n", "\U0001f600e\u0301\r\n", "zoë ﬁ\u4e2d\u6587", "line\n" * 60, "".join(chr(0x4E00 + k) for k in range(9000)), "x" * 300 + "\n" * 30]
+
+
+@pytest.mark.parametrize("name", ["neighbour_information", "doc_entropy"])
+def test_information_of_odd_texts(spark, tmp_path, name):
+    """Ids repeated and null; wide alphabets. Null neighbours have no information, as in SQL."""
+    rows = [(k, t) for k, t in enumerate(ODD)] + [(3, "again"), (None, "none"), (len(ODD) + 1, "after a gap")] + ([(len(ODD) + 2, None)] if name == "neighbour_information" else [])
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(2).write.parquet(f"{tmp_path}/documents.parquet")
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = duck.execute(catalog.oracle_sql()[name])
+    columns = [c[0] for c in want.description]
+    got = catalog.queries()[name](spark, str(tmp_path)).select(columns).collect()
+    plain = lambda rows: sorted(repr(tuple(x + 0.0 if isinstance(x, float) else x for x in r)) for r in rows)
+    assert plain(got) == plain(want.fetchall())

@@ -191,16 +191,15 @@ def line_offsets(t) -> DataFrame:
 @query("SELECT doc_id, i, round(CASE WHEN k > 1 THEN h / log2(k) ELSE 0 END, 6) AS entropy FROM (SELECT doc_id, i, list_aggregate(string_split(s, ''), 'entropy') AS h, len(list_distinct(string_split(s, ''))) AS k FROM (SELECT doc_id, i, array_to_string(list_slice(l, greatest(1, i - 49), i), chr(10)) AS s FROM (SELECT doc_id, l, unnest(range(25, len(l) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))))")
 def line_window_entropy(t) -> DataFrame:
     """Normalised entropy of the up to 50 lines that end at each line, from the 25th on."""
-    d = t("documents").select("doc_id", tx.lines(F.col("text")).alias("l")).filter("size(l) >= 25").select("doc_id", "l", F.explode(F.sequence(F.lit(25), F.size("l"))).alias("i"))
-    first = F.greatest(F.lit(1), F.col("i") - 49)
-    return d.select("doc_id", F.col("i").cast("long").alias("i"), r6(info.normalised_entropy(F.array_join(F.slice("l", first, F.col("i") - first + 1), "\n"))).alias("entropy"))
+    return info.line_windows(t("documents"), "doc_id", "text").select("doc_id", "i", r6("entropy").alias("entropy"))
 
 
 @query(f"SELECT doc_id, i, first FROM (SELECT doc_id, i, min(i) OVER (PARTITION BY doc_id, h) AS first, row_number() OVER (PARTITION BY doc_id, h ORDER BY i) AS k FROM (SELECT doc_id, i, md5(line || chr(10) || lead(line) OVER w || chr(10) || lead(line, 2) OVER w || chr(10) || lead(line, 3) OVER w || chr(10) || lead(line, 4) OVER w) AS h FROM ({_L}) WINDOW w AS (PARTITION BY doc_id ORDER BY i)) WHERE h IS NOT NULL) WHERE k > 1")
 def duplicate_line_blocks(t) -> DataFrame:
     """Runs of five lines that stood in the text before, with the line where they first began."""
-    d = t("documents").select("doc_id", tx.lines(F.col("text")).alias("l")).filter("size(l) >= 5").select("doc_id", "l", F.explode(F.sequence(F.lit(1), F.size("l") - 4)).alias("i"))
-    h = d.select("doc_id", "i", F.md5(F.array_join(F.slice("l", F.col("i"), F.lit(5)), "\n")).alias("h"))
+    d = t("documents").select("doc_id", tx.lines(F.col("text")).alias("l")).filter("size(l) >= 5")
+    blocks = F.transform(F.sequence(F.lit(1), F.size("l") - 4), lambda i: F.md5(F.array_join(F.slice("l", i, F.lit(5)), "\n")))
+    h = d.select("doc_id", F.posexplode(blocks).alias("i", "h")).select("doc_id", (F.col("i") + 1).alias("i"), "h")
     by = Window.partitionBy("doc_id", "h")
     return h.select("doc_id", F.col("i").cast("long").alias("i"), F.min("i").over(by).cast("long").alias("first"), F.row_number().over(by.orderBy("i")).alias("k")).filter("k > 1").drop("k")
 

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DoubleType
@@ -120,3 +121,52 @@ def conditional_entropy(text: Column, order: int = 1) -> Column:
         return pd.Series(out, dtype="float64")
 
     return of(text)
+
+
+def _windows(text: str, least: int, most: int, cells: int) -> np.ndarray:
+    """Normalised entropy of the up to ``most`` lines that end at each line, from the ``least``-th on."""
+    codes = _codes(text)
+    ends = np.append(np.flatnonzero(codes == 10), len(codes))
+    begins = np.append(0, ends[:-1] + 1)
+    out, at, step = [], least - 1, 2048
+    while at < len(ends):
+        first, stop = max(0, at - most + 1), min(len(ends), at + step)
+        part = codes[begins[first] : ends[stop - 1]]
+        distinct, c = np.unique(np.append(part, np.uint32(10)), return_inverse=True)
+        if len(distinct) * (stop - first) > cells and step > most:  # a wide alphabet: fewer lines at once
+            step = max(most, step // 2)
+            continue
+        k, c = len(distinct), c.ravel()[:-1]
+        inside = part != 10
+        line = np.cumsum(~inside)[inside]
+        n = np.zeros((stop - first + 1, k), np.int64)
+        n[1:] = np.bincount(line * k + c[inside], minlength=(stop - first) * k).reshape(-1, k)
+        np.cumsum(n, axis=0, out=n)
+        last = np.arange(at, stop)
+        begin = np.maximum(0, last - most + 1)
+        held = n[last - first + 1] - n[begin - first]
+        held[:, np.searchsorted(distinct, 10)] += last - begin
+        total, kinds = held.sum(1), (held > 0).sum(1)
+        bits = np.log2(np.maximum(total, 1)) - (held * np.log2(np.maximum(held, 1))).sum(1) / np.maximum(total, 1)
+        out.append(np.where(kinds > 1, bits / np.log2(np.maximum(kinds, 2)), 0.0))
+        at = stop
+    return np.concatenate(out) if out else np.empty(0)
+
+
+def line_windows(df: DataFrame, key: str, text: str, least: int = 25, most: int = 50, cells: int = 1 << 21) -> DataFrame:
+    """(key, i, entropy): normalised entropy of the up to ``most`` lines that end at line i, from the ``least``-th on.
+
+    A text's lines are counted once, and a window is the difference of two running sums; a text isn't copied for each of its lines.
+    """
+
+    def of(batches):
+        for batch in batches:
+            for row, one in enumerate(batch.column(1)):
+                h = _windows(one.as_py(), least, most, cells)
+                for s in range(0, len(h), 1 << 16):
+                    part = h[s : s + (1 << 16)]
+                    keys = batch.column(0).take(pa.array(np.full(len(part), row)))
+                    yield pa.RecordBatch.from_arrays([keys, pa.array(np.arange(len(part)) + s + least), pa.array(part)], names=["key", "i", "entropy"])
+
+    d = df.select(key, text).filter(F.length(text) - F.length(F.replace(F.col(text), F.lit("\n"), F.lit(""))) >= least - 1)
+    return d.mapInArrow(of, f"key {df.schema[key].dataType.simpleString()}, i long, entropy double").withColumnRenamed("key", key)

@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 
 from strataloom import catalog
+from strataloom.functions import information as info
 from strataloom.operators import similarity, vectors
 
 
@@ -106,7 +107,7 @@ def test_top_k_shuffles_rows_once_a_strip(spark, monkeypatch, group):
 ODD = ["", "a", "aaaa", "abab\n", "\U0001f600e\u0301\r\n", "zoë ﬁ\u4e2d\u6587", "line\n" * 60, "".join(chr(0x4E00 + k) for k in range(9000)), "x" * 300 + "\n" * 30]
 
 
-@pytest.mark.parametrize("name", ["neighbour_information", "doc_entropy"])
+@pytest.mark.parametrize("name", ["neighbour_information", "doc_entropy", "line_window_entropy", "duplicate_line_blocks"])
 def test_information_of_odd_texts(spark, tmp_path, name):
     """Ids repeated and null; wide alphabets. Null neighbours have no information, as in SQL."""
     rows = [(k, t) for k, t in enumerate(ODD)] + [(3, "again"), (None, "none"), (len(ODD) + 1, "after a gap")] + ([(len(ODD) + 2, None)] if name == "neighbour_information" else [])
@@ -118,3 +119,17 @@ def test_information_of_odd_texts(spark, tmp_path, name):
     got = catalog.queries()[name](spark, str(tmp_path)).select(columns).collect()
     plain = lambda rows: sorted(repr(tuple(x + 0.0 if isinstance(x, float) else x for x in r)) for r in rows)
     assert plain(got) == plain(want.fetchall())
+
+
+def test_line_windows_count_each_line_once(spark):
+    """30,000 lines, which copied for each of them are some 10^9; wide alphabets are taken in smaller pieces, with the same results."""
+    lines = [f"{k % 7} line {k * k % 1001}" for k in range(30000)]
+    df = spark.createDataFrame([(1, "\n".join(lines)), (2, "\n".join(lines[:24])), (3, None)], "doc_id long, text string")
+    got = {r.i: r.entropy for r in info.line_windows(df, "doc_id", "text").collect()}
+    assert sorted(got) == list(range(25, 30001))
+    for i in (25, 49, 50, 51, 2072, 2073, 30000):
+        c = Counter("\n".join(lines[max(0, i - 50) : i]))
+        n = sum(c.values())
+        assert got[i] == pytest.approx(-sum(x / n * math.log2(x / n) for x in c.values()) / math.log2(len(c)), abs=1e-12)
+    small = {r.i: r.entropy for r in info.line_windows(df, "doc_id", "text", cells=1).collect()}
+    assert small == pytest.approx(got, abs=1e-12)

@@ -22,7 +22,7 @@ def shuffled_rows(df):
         if name == "AdaptiveSparkPlanExec":
             todo.append(p.executedPlan())
             continue
-        if name in ("ShuffleQueryStageExec", "BroadcastQueryStageExec"):
+        if name.endswith("QueryStageExec"):
             todo.append(p.plan())
             continue
         if name == "ShuffleExchangeExec":
